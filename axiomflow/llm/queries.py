@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axiomflow.llm import bpe, chat, decontam, exact_dedup, linedup, minhash, tokencount
+from axiomflow.llm import bpe, chat, decontam, exact_dedup, html_extract, linedup, minhash, pii, tokencount, toxicity
 from axiomflow.llm.common import prepare
 
 
@@ -108,8 +108,24 @@ FROM (SELECT node AS doc_id, min(root) AS root FROM r GROUP BY node) LEFT JOIN n
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    out = toxicity.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_entities", "private_text")
+
+
 def queries() -> dict:
-    return {"op1_chat_format": op1_chat_format, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op6_line_dedup": op6_line_dedup, "op8_token_counts": op8_token_counts, "op9_exact_dedup": op9_exact_dedup, "op10_minhash": op10_minhash}
+    return {"op1_chat_format": op1_chat_format, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op5_pii_surrogates": op5_pii_surrogates, "op6_line_dedup": op6_line_dedup, "op7_html_extraction": op7_html_extraction, "op8_token_counts": op8_token_counts, "op9_exact_dedup": op9_exact_dedup, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict:
