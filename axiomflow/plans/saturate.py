@@ -13,19 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axiomflow.operators import rules
-from axiomflow.schema import BOTTOM, TOP, Axioms
-from axiomflow.storage import BROADCAST_ROWS, fresh_path, materialised, small
+from axiomflow.schema import BOTTOM, TOP, Axioms, frame
+from axiomflow.storage import BROADCAST_ROWS, fresh_path, is_local, materialised, small, write_counted
+
+
+#: Role inclusions are few in most ontologies; up to this many are followed without a job.
+DRIVER_ROLES = 5_000
 
 
 def role_closure(ax_role: DataFrame) -> DataFrame:
-    """(r, s) for each role s strictly or cyclically above r, by doubling of paths; r itself is left out."""
-    now = materialised(ax_role.select("r", "s").filter("r != s").distinct(), "roles")
+    """(r, s) for each role s strictly or cyclically above r; r itself is left out. Up to DRIVER_ROLES inclusions are
+    followed on the driver, more by doubling of paths."""
+    spark, edges = ax_role.sparkSession, ax_role.select("r", "s").filter("r != s").distinct()
+    first = edges.take(DRIVER_ROLES + 1)
+    if len(first) <= DRIVER_ROLES:
+        above: dict = {}
+        for r, s in first:
+            above.setdefault(r, set()).add(s)
+        found = []
+        for r in above:
+            seen, todo = set(), [r]
+            while todo:
+                for s in above.get(todo.pop(), ()):
+                    if s not in seen:
+                        seen.add(s)
+                        todo.append(s)
+            found += [(r, s) for s in seen if s != r]
+        kind = ax_role.schema["r"].dataType.simpleString()
+        return frame(spark, found, f"r {kind}, s {kind}")
+    now = materialised(edges, "roles")
     n = now.count()
     while n:
         step = now.select(F.col("r").alias("p"), F.col("s").alias("r")).join(now, "r").select(F.col("p").alias("r"), "s").filter("r != s")
-        grown = materialised(now.unionByName(step).distinct(), "roles")
-        m = grown.count()
-        now = grown
+        path = fresh_path(spark, "roles")
+        m = write_counted(now.unionByName(step).distinct(), path)
+        now = spark.read.schema(edges.schema).parquet(path)
         if m == n:
             break
         n = m
@@ -48,8 +70,7 @@ def subclass_closure(edges: DataFrame) -> DataFrame:
         found = last.join(link, F.col("b") == F.col("k")).select("x", F.col("to").alias("b")).filter("x != b").distinct()
         new = found.join(everything().select("x", "b"), ["x", "b"], "left_anti")
         depth += 1
-        new.write.parquet(f"{base}/depth={depth}")
-        if spark.read.parquet(f"{base}/depth={depth}").isEmpty():
+        if not write_counted(new, f"{base}/depth={depth}"):
             return everything()
 
 
@@ -83,13 +104,14 @@ class Closure:
     def delta_r(self, at: int) -> DataFrame:
         return self._read("R", f"r {self.entity}, x {self.entity}, y {self.entity}", at)
 
-    def write(self, s: DataFrame, r: DataFrame) -> tuple[int, int]:
-        """Stores the next round's facts and returns how many there are."""
+    def write(self, s: DataFrame | None, r: DataFrame | None) -> tuple[int, int]:
+        """Stores the next round's facts and returns how many there are; None stands for none."""
         began = time.time()
         self.rounds += 1
-        s.select("x", "b").write.mode("overwrite").parquet(f"{self.path}/S/round={self.rounds}")
-        r.select("r", "x", "y").write.mode("overwrite").parquet(f"{self.path}/R/round={self.rounds}")
-        n = self.delta_s(self.rounds).count(), self.delta_r(self.rounds).count()
+        n = (
+            write_counted(s.select("x", "b"), f"{self.path}/S/round={self.rounds}") if s is not None else 0,
+            write_counted(r.select("r", "x", "y"), f"{self.path}/R/round={self.rounds}") if r is not None else 0,
+        )
         self.metrics.append({"round": self.rounds, "new_s": n[0], "new_r": n[1], "seconds": time.time() - began})
         return n
 
@@ -110,8 +132,12 @@ class _Ready:
 def _ready(ax: Axioms, nothing) -> _Ready:
     tables: dict[str, DataFrame | None] = {}
     for kind, df in ax.tables().items():
-        stored = materialised(df, f"ax-{kind}")
-        n = stored.count()  # from the files' footers
+        if is_local(df):
+            stored, n = df, len(df.take(BROADCAST_ROWS + 1))
+        else:
+            path = fresh_path(df.sparkSession, f"ax-{kind}")
+            n = write_counted(df, path)
+            stored = df.sparkSession.read.schema(df.schema).parquet(path)
         tables[kind] = F.broadcast(stored) if 0 < n <= BROADCAST_ROWS else stored if n else None
     roles = role_closure(tables["role"]) if tables["role"] is not None else None
     heads = [t.select("b") for k in ("sub", "conj", "exl") if (t := tables[k]) is not None]
@@ -154,14 +180,13 @@ def candidates(ds: DataFrame | None, dr: DataFrame | None, s: DataFrame, r: Data
 
 def _step(closure: Closure, to_s: list[DataFrame], to_r: list[DataFrame], ready: _Ready) -> tuple[int, int]:
     """Writes the candidates that aren't known as the next round."""
-    spark = closure.spark
     s, r = closure.s.select("x", "b"), closure.r.select("r", "x", "y")
-    new_s = rules.union(to_s).distinct().join(s, ["x", "b"], "left_anti") if to_s else spark.createDataFrame([], f"x {closure.entity}, b {closure.entity}")
+    new_s = new_r = None
+    if to_s:
+        new_s = rules.union(to_s).distinct().join(s, ["x", "b"], "left_anti")
     if to_r:
         found = rules.union(to_r)
         new_r = (rules.role_super(found, ready.roles) if ready.roles is not None else found).distinct().join(r, ["r", "x", "y"], "left_anti")
-    else:
-        new_r = spark.createDataFrame([], f"r {closure.entity}, x {closure.entity}, y {closure.entity}")
     return closure.write(new_s, new_r)
 
 
@@ -198,7 +223,7 @@ def saturate(ax: Axioms, max_rounds: int = 10_000, path: str | None = None, noth
     entity = ax.sub.schema["a"].dataType.simpleString()
     closure = Closure(spark, path or fresh_path(spark, "closure"), entity, axioms=ax)
     ready = _ready(ax, nothing)
-    n = closure.write(_seeds(ax, top, entity), spark.createDataFrame([], f"r {entity}, x {entity}, y {entity}"))
+    n = closure.write(_seeds(ax, top, entity), frame(spark, [], f"r {entity}, x {entity}, y {entity}"))
     return _fixpoint(closure, n, ready, max_rounds)
 
 

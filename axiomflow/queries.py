@@ -11,7 +11,7 @@ from axiomflow.functions import ids
 from axiomflow.operators import dictionary, generate, normalize, profile, results, rules, setops, stats, translate
 from axiomflow.plans import placement, star
 from axiomflow.plans.saturate import extend, facts, role_closure, saturate, subclass_closure
-from axiomflow.schema import BOTTOM, Axioms
+from axiomflow.schema import BOTTOM, Axioms, frame
 from axiomflow.sources import owl, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +62,7 @@ def query(sql: str | None = None):
 
 
 def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
-    return spark.createDataFrame(list(values), schema)
+    return frame(spark, list(values), schema)
 
 
 def pairs(df: DataFrame, x: str = "x", b: str = "b") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,16 @@ COLUMNS = {
 ENTITY = {"a": None, "b": None, "operand": None, "d": None, "r": ROLE, "s": ROLE, "t": ROLE}
 
 
+def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from Python rows as a local relation, which costs no job and which the optimizer sees through."""
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "tinyint": pa.int8(), "double": pa.float64()}
+    columns = [c.split() for c in schema.split(",")]
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(columns)}))
+
+
 def empty(spark: SparkSession, kind: str, entity: str = "string") -> DataFrame:
     types = {"conj_id": "bigint", "arity": "int"}
-    return spark.createDataFrame([], ", ".join(f"{c} {types.get(c, entity)}" for c in COLUMNS[kind]))
+    return frame(spark, [], ", ".join(f"{c} {types.get(c, entity)}" for c in COLUMNS[kind]))
 
 
 @dataclass(frozen=True)
@@ -52,7 +60,7 @@ class Axioms:
     @staticmethod
     def of(spark: SparkSession, entity: str = "string", **tables: DataFrame) -> Axioms:
         given = {k: tables[k].select(*COLUMNS[k]) if k in tables else empty(spark, k, entity) for k in COLUMNS}
-        people = tables.get("individuals", spark.createDataFrame([], f"x {entity}"))
+        people = tables["individuals"] if "individuals" in tables else frame(spark, [], f"x {entity}")
         return Axioms(**given, individuals=people)
 
     @staticmethod
@@ -62,11 +70,11 @@ class Axioms:
         for kind, values in rows.items():
             if kind == "conj":
                 values = [("&".join(sorted(ops)), o, len(set(ops)), b) for ops, b in values for o in sorted(set(ops))]
-                tables[kind] = spark.createDataFrame(values, "k string, operand string, arity int, b string").select(F.xxhash64("k", "b").alias("conj_id"), "operand", "arity", "b")
+                tables[kind] = frame(spark, values, "k string, operand string, arity int, b string").select(F.xxhash64("k", "b").alias("conj_id"), "operand", "arity", "b")
             elif kind == "individuals":
-                tables[kind] = spark.createDataFrame([(v,) for v in values], "x string")
+                tables[kind] = frame(spark, [(v,) for v in values], "x string")
             else:
-                tables[kind] = spark.createDataFrame(values, ", ".join(f"{c} string" for c in COLUMNS[kind]))
+                tables[kind] = frame(spark, values, ", ".join(f"{c} string" for c in COLUMNS[kind]))
         return Axioms.of(spark, **tables)
 
     def tables(self) -> dict[str, DataFrame]:

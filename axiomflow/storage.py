@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table counts as small enough to be broadcast.
@@ -34,6 +34,19 @@ def materialised(df: DataFrame, label: str = "table", path: str | None = None) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str) -> int:
+    """Writes ``df`` and returns its number of rows, in one job."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return seen.get["n"]
+
+
+def is_local(df: DataFrame) -> bool:
+    """Whether the optimized plan is a local relation, whose rows the driver has already."""
+    return df._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n = len(df.take(rows + 1)) if is_local(df) else df.limit(rows + 1).count()
+    return F.broadcast(df) if n <= rows else df
