@@ -48,7 +48,7 @@ def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     role is empty. Null conversations form one of their own. Null or empty parts give an empty body; a part of
     an unknown kind is visited as text. ``loss_spans``: array of (turn: 1-based place, start: 0-based code point in
     that turn's marked-up string, length), one for each turn of ``loss_role``. ``attachments``: array of (turn,
-    ordinal within the turn, kind, ref, tokens). Other columns of df are left out. One conversation becomes one
+    ordinal among its attachments, kind, ref, tokens). Other columns of df are left out. One conversation becomes one
     string, so all its rows meet in one task; rows are reduced to the marked-up turn before they are sent there.
     """
     content = F.coalesce(F.col(parts).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))

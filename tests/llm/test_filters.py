@@ -1,0 +1,163 @@
+"""Decontamination, line dedup, PII, toxicity, HTML against brute force and planted cases."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from axiomflow.llm import decontam, html_extract, linedup, pii, toxicity
+
+from helpers import words
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def brute_hits(text, items, window):
+    doc = words(text, WORD)
+    hit, found = set(), set()
+    for name, item in items:
+        w = words(item, WORD)
+        n = min(window, len(w))
+        grams = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+        for i in range(len(doc) - n + 1):
+            if n and tuple(doc[i : i + n]) in grams:
+                hit |= set(range(i, i + n))
+                found.add(str(name))
+    return len(doc), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_decontamination_equals_brute_force(spark, docs, block):
+    rnd = random.Random(5)
+    draw = lambda n: " ".join(rnd.choice("aA b, c d é1 2".split()) for _ in range(n))
+    items = [(i, draw(rnd.randint(0, 9))) for i in range(14)] + [(3, draw(5)), (20, None), (21, ""), (None, "a b c")]
+    rows = [(i, draw(rnd.randint(0, 40)), "x") for i in range(60)] + [(60, None, "x"), (61, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_words string")
+    out = decontam.scan_contamination(df, spark.createDataFrame(items, "item_id bigint, text string"), window=4, block_bytes=block)
+    assert out.columns == ["doc_id", "text", "n_words", "n_hit", "hit_items", "hit_spans", "clean_text"]
+    items = [("" if i is None else i, t) for i, t in items]
+    for r in out.collect():
+        assert (r.n_words, r.n_hit, r.hit_items) == brute_hits(r.text, items, 4)
+        if r.text is not None:
+            raw = r.text.encode()
+            kept = "".join(raw[a:b].decode() for a, b in zip([0, *(s[1] for s in r.hit_spans)], [*(s[0] for s in r.hit_spans), len(raw)], strict=True))
+            assert kept == r.clean_text and len(words(r.clean_text, WORD)) == r.n_words - r.n_hit
+    none = decontam.scan_contamination(docs, spark.createDataFrame([], "item_id bigint, text string"))
+    assert none.filter("n_hit > 0").count() == 0 and none.count() == docs.count()
+
+
+def test_decontaminate_cuts_and_drops(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    rest = " ".join(f"x{i}" for i in range(40))
+    df = spark.createDataFrame([(1, item), (2, f"{rest} {item}. {rest}"), (3, rest), (4, None)], "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in decontam.decontaminate(df, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert out == {2: f"{rest} . {rest}", 3: rest, 4: None}
+
+
+def brute_lines(rows):
+    rows = sorted({r[:2] for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, later, first, count = {}, {}, {}, {}
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        at = [i for i, s in enumerate(lines) if re.search(r"[^ \t\r\x0b\x0c]", s)]
+        for k in range(len(at) - 2):
+            key = tuple(lines[i] for i in at[k : k + 3])
+            count[key] = count.get(key, 0) + 1
+            (later if key in seen else first).setdefault(doc, []).append((key, at[k : k + 3]))
+            seen.setdefault(key, doc)
+    out = {}
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = {i for key, c in first.get(doc, []) if count[key] > 1 for i in c}
+        gone = {i for _, c in later.get(doc, []) for i in c} - kept
+        out[doc] = (len(lines), len(gone), "\n".join(s for i, s in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_lines_equal_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(i, "\n".join(rnd.choice(["a", "b", " ", "c", "dd"]) for _ in range(rnd.randint(0, 12)))) for i in range(50)]
+    rows += [(50, None), (51, ""), (52, "a\nb\nc"), (None, "q\nr\ns\nt"), (53, "q\nr\ns\nt\nu"), (7, rows[7][1])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, text string, n_lines int")
+    out = linedup.dedup_lines(df)
+    want = brute_lines(rows)
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_lines, r.n_removed, r.dedup_text) == want[r.doc_id]
+    assert linedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Mail Mr. John Smith at John.Smith@Mail.example.com, +1 (743) 555-3824. Card 4111 1111 1111 1111 or 4111-1111-1111-1111, ip 10.2.3.4."),
+        (2, "john.smith@mail.example.com; Herr John Smith; г-жа Анна Иванова; 123-45-6789; DE44500105175407324931"),
+        (3, None), (4, ""), (None, "x@y.example.com"), (1, "Mail Mr. John Smith at John.Smith@Mail.example.com, +1 (743) 555-3824. Card 4111 1111 1111 1111 or 4111-1111-1111-1111, ip 10.2.3.4."),
+    ]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id bigint, text string, n_entities int")
+    got = pii.pseudonymise(df, key="k").collect()
+    by = {r.doc_id: r.private_text for r in got}
+    assert len(got) == len(rows) and by[3] == by[4] == ""
+    one = re.fullmatch(r"Mail Mr\. ([A-Z]\w+ [A-Z]\w+) at (\S+@\S+), (\+1 \(\d{3}\) \d{3}-\d{4})\. Card (\d{4} \d{4} \d{4} \d{4}) or (\d{4}-\d{4}-\d{4}-\d{4}), ip (\d+(?:\.\d+){3})\.", by[1])
+    assert one and one[4].replace(" ", "") == one[5].replace("-", "") and one[4] != "4111 1111 1111 1111"
+    digits = [int(d) for d in one[4].replace(" ", "")]
+    assert sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+    assert by[2].startswith(one[2] + "; ") and f"Herr {one[1]}" in by[2] and re.search(r"г-жа [А-Я]\w+ [А-Я]\w+;", by[2])
+    assert "Smith" not in by[1] + by[2] and by == {r.doc_id: r.private_text for r in pii.pseudonymise(df, key="k").collect()}
+    assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.format_string("%03d-%02d-%04d", (F.col("id") % 899 + 100), F.col("id") % 97, F.col("id")).alias("text"))
+    out = pii.pseudonymise(df).select("private_text")
+    assert out.distinct().count() == df.select("text").distinct().count() and out.join(df, F.col("private_text") == F.col("text")).count() == 0
+
+
+def test_block_max_search_is_exact():
+    rnd = random.Random(1)
+    vectors = [{t: rnd.random() for t in rnd.sample(range(30), 4)} for _ in range(500)]
+    index = toxicity.BlockMaxIndex(vectors, 30)
+    for _ in range(40):
+        q = {t: rnd.random() for t in rnd.sample(range(30), 5)}
+        scores = sorted(((sum(w * v.get(t, 0) for t, w in q.items()), -i) for i, v in enumerate(vectors)), reverse=True)[:10]
+        got = index.nearest(q, 10)
+        assert [i for _, i in got] == [-i for _, i in scores] and all(abs(a - b[0]) < 1e-5 for (a, _), b in zip(got, scores, strict=True))
+
+
+def test_toxicity_learns_and_leaves_clean_texts(spark):
+    rnd = random.Random(2)
+    plain = [f"word{rnd.choice('abcdefgh')}{rnd.choice('abcdefgh')}" for _ in range(60)]
+    bad = ["idiot", "scum", "loser", "moron"]
+
+    def text(toxic):
+        w = rnd.choices(plain, k=30)
+        return " ".join(w[:10] + (rnd.choices(bad, k=3) if toxic else []) + w[10:])
+
+    rows = [(i, text(i % 5 == 0)) for i in range(600)] + [(600, None), (601, ""), (0, text(True))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id bigint, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.predicted == int(r.doc_id % 5 == 0 and r.doc_id < 600) and 0 <= r.score <= 1 and bool(r.evidence) == bool(r.predicted)
+    empty = toxicity.score(docs, toxicity.fit(docs, labels.limit(0)))
+    assert {r.score for r in empty.select("score").distinct().collect()} == {0.0}
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T{n}</title><script>var x = "</p><p>no";</script></head><body>
+<nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy {n}</div>
+<{main}><h1>Title {n}</h1><p>First &amp; <b>bo</b>ld {n}.<p>Second<br>line &#233; {n}.<div class="share">share</div></{main}>
+<div id="comments"><p>I disagree {n}, and at great length, with all that was said here.</p></div><footer>&copy; me {n}</footer>"""
+
+
+def test_pages(spark):
+    rows = [(i, f"http://{'a' if i % 2 else 'b'}.example.com/{i}", PAGE.format(n=i, main="article" if i % 2 else 'div class="post-7"').replace('</div class="post-7">', "</div>")) for i in range(12)]
+    rows += [(12, "http://a.example.com/x", None), (13, None, ""), (14, "nonsense", "plain  text &lt;3"), (1, rows[1][1], rows[1][2]), (15, "http://c.example.com", "<p>a<ul><li>b<li>c</ul><table><tr><td>d<td>e</table>")]
+    out = html_extract.extract_main_text(spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, main_text string"))
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns == ["page_id", "url", "html", "main_text"]
+    for r in got:
+        want = f"Title {r.page_id} First & bold {r.page_id}. Second line é {r.page_id}." if r.page_id < 12 else {12: "", 13: "", 14: "plain text <3", 15: "a b c d e"}[r.page_id]
+        assert r.main_text == want
