@@ -21,6 +21,8 @@ DISK_STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: space is not set aside ahead of use
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -32,8 +34,9 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def digest(text: Column) -> Column:
-    return F.unhex(F.sha2(normalised(text), 256))
+def digest(normal: Column) -> Column:
+    """SHA-256 of a normalised text, as bytes."""
+    return F.unhex(F.sha2(normal, 256))
 
 
 @contextmanager
@@ -62,6 +65,7 @@ def run_stream(rows: DataFrame, checkpoint: str, changes: str) -> DataFrame:
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{changes}/epoch={epoch}")
 
+    rows.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{changes}/epoch=-1")  # for streams without rows
     with _settings(spark, DISK_STATE):
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
@@ -90,11 +94,11 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     text, doc = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
     size = -F.length(F.coalesce(text, F.lit(""))).cast("bigint")
     stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(_as_glob(path))
-    rows = stream.select(digest(text).alias("digest"), F.struct(size.alias("size"), doc.alias("id"), F.col("_metadata.file_path").alias("locator")).alias("best"))
+    rows = stream.select(digest(normalised(text)).alias("digest"), F.struct(size.alias("size"), doc.alias("id"), F.col("_metadata.file_path").alias("locator")).alias("best"))
     state = run_stream(rows, f"{base}/state", f"{base}/changes")
 
     # rows beside their state; only rows whose digest was hit carry their text on
-    plain = docs.select(doc.alias("id"), size.alias("size"), normalised(text).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    plain = docs.select(doc.alias("id"), size.alias("size"), normalised(text).alias("norm")).withColumn("digest", digest(F.col("norm")))
     met = materialised(plain.join(state.select("digest", "best", "n"), "digest").select("digest", "id", "size", "best", "n", F.when(F.col("n") > 1, F.col("norm")).alias("norm")), "exact-met")
     hits = met.filter("n > 1")
     keeper = hits.filter(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("size") == F.col("best.size"))).groupBy("digest").agg(F.min("norm").alias("keep_norm"))
