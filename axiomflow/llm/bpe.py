@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from axiomflow.llm.common import TwoGenerationCache, arrow_map, prepare
+from axiomflow.llm.common import TwoGenerationCache, arrow_map, prepare, resident
 
 #: Stands for the end of a word in symbol strings, whose other characters are bytes 0-255.
 END = "Ā"
@@ -30,8 +30,8 @@ SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A space that is not alone between two texts; such texts are split as a whole.
 ODD_SPACE = re.compile(r"\A\s| \s|\s |\s\Z")
-CACHE_WORDS = 400_000
-MEMO_PAIRS = 600_000
+CACHE_WORDS = 200_000
+MEMO_PAIRS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -261,14 +261,9 @@ class Encoder:
         return (data[: len(data) - len(m.joined)] if m.joined else data).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = Encoder(BpeModel(vocabulary))
-    return _loaded[vocabulary]
+    """One encoder per worker process."""
+    return resident(f"bpe {vocabulary}", lambda: Encoder(BpeModel(vocabulary)))
 
 
 def encode_text(df: DataFrame, text_col: str = "text", vocabulary: str = "word_bpe_49k.json", decoded: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -99,6 +99,18 @@ def arrow_map(
     return source.mapInArrow(run, schema)
 
 
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]):
+    """The object that this worker process keeps between tasks: one at a time, so that workers which serve one
+    operator after another don't add up their models and caches."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 class TwoGenerationCache(dict):
     """A bounded map: when the young generation is full it becomes the old one; hits in the old one move back."""
 

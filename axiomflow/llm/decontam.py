@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axiomflow.llm.common import prepare
+from axiomflow.llm.common import prepare, resident
 
 #: A-Z to a-z; digits, a-z and bytes from 0x80 make words, all else parts them: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -132,15 +132,8 @@ class SuffixAutomaton:
         return spans, found
 
 
-_built: dict[str, SuffixAutomaton] = {}
-
-
 def _automaton(key: str, items: list[tuple[str, bytes]], window: int) -> SuffixAutomaton:
-    if key not in _built:
-        if len(_built) > 1:
-            _built.clear()
-        _built[key] = SuffixAutomaton([(i, words_of(t)) for i, t in items], window)
-    return _built[key]
+    return resident(f"automaton {key}", lambda: SuffixAutomaton([(i, words_of(t)) for i, t in items], window))
 
 
 def _blocks(items: DataFrame, item_id: str, item_text: str, limit: int) -> Iterable[list[tuple[str, bytes]]]:

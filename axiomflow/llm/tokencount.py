@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axiomflow.llm.bpe import BYTE_WORDS, CACHE_WORDS, BpeModel
-from axiomflow.llm.common import TwoGenerationCache, arrow_map, prepare
+from axiomflow.llm.common import TwoGenerationCache, arrow_map, prepare, resident
 
 
 def prefix_counts(model: BpeModel, word: str) -> list[int]:
@@ -110,13 +110,8 @@ class PrefixStore:
         return at
 
 
-_loaded: dict[str, Counter] = {}
-
-
 def counter(vocabulary: str) -> Counter:
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = Counter(vocabulary)
-    return _loaded[vocabulary]
+    return resident(f"counts {vocabulary}", lambda: Counter(vocabulary))
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", limit: int = 512, table: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axiomflow.llm.common import TwoGenerationCache, arrow_map, materialised, prepare
+from axiomflow.llm.common import TwoGenerationCache, arrow_map, materialised, prepare, resident
 
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -30,7 +31,7 @@ MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 3000, 9000, 4000
 #: Least log-likelihood ratio (G) and ratio of rates of a term that sets toxic examples apart.
 LEAST_G, LEAST_RATIO = 18.0, 4.0
 NEIGHBOURS, BLOCK = 16, 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -185,9 +186,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-_models: dict[int, tuple] = {}
-
-
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``score`` (0 to 1), ``predicted`` (1 if score >= 0.5) and ``evidence``: (id, similarity, label) of the nearest
     examples. Only the text is looked at; a null text counts as empty. All rows stay; columns of the added names
@@ -197,14 +195,14 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: lis
     shared = spark.sparkContext.broadcast(pickle.dumps(model))
     near_type = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     fields = [("score", T.DoubleType(), pa.float64()), ("predicted", T.IntegerType(), pa.int32()), ("evidence", near_type, pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())])))]
-    key = id(shared)
+    key = f"toxicity {uuid.uuid4().hex}"
+
+    def load():
+        m: ToxicityModel = pickle.loads(shared.value)
+        return m, TwoGenerationCache(CACHE_WORDS, lambda w: tuple(m.terms[t] for t in terms_of(w) if t in m.terms)), {}
 
     def make():
-        if key not in _models:
-            _models.clear()
-            m: ToxicityModel = pickle.loads(shared.value)
-            _models[key] = (m, TwoGenerationCache(CACHE_WORDS, lambda w: tuple(m.terms[t] for t in terms_of(w) if t in m.terms)), {})
-        m, words, known = _models[key]
+        m, words, known = resident(key, load)
 
         def compute(texts):
             for text in texts:
