@@ -95,17 +95,20 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     size = -F.length(F.coalesce(text, F.lit(""))).cast("bigint")
     stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(_as_glob(path))
     rows = stream.select(digest(normalised(text)).alias("digest"), F.struct(size.alias("size"), doc.alias("id"), F.col("_metadata.file_path").alias("locator")).alias("best"))
-    state = run_stream(rows, f"{base}/state", f"{base}/changes")
+    # written first, as are the other grouped tables below: a join of two tables can split the rows of a hot digest
+    state = materialised(run_stream(rows, f"{base}/state", f"{base}/changes"), "exact-state")
 
     # rows beside their state; only rows whose digest was hit carry their text on
     plain = docs.select(doc.alias("id"), size.alias("size"), normalised(text).alias("norm")).withColumn("digest", digest(F.col("norm")))
     met = materialised(plain.join(state.select("digest", "best", "n"), "digest").select("digest", "id", "size", "best", "n", F.when(F.col("n") > 1, F.col("norm")).alias("norm")), "exact-met")
     hits = met.filter("n > 1")
     keeper = hits.filter(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("size") == F.col("best.size"))).groupBy("digest").agg(F.min("norm").alias("keep_norm"))
+    keeper = materialised(keeper, "exact-keepers")
     checked = hits.join(keeper, "digest").select("digest", "id", "size", "best", "n", F.when(F.col("norm") != F.col("keep_norm"), F.col("norm")).alias("other"))
     checked = materialised(checked, "exact-checked")
     # texts that share a digest and differ form groups by their bytes
     groups = checked.groupBy("digest", "other").agg(F.min(F.struct("size", "id", F.col("best.locator").alias("locator"))).alias("b"), F.count(F.lit(1)).alias("m")).withColumnsRenamed({"digest": "d2", "other": "o2"})
+    groups = materialised(groups, "exact-groups")
     same = checked.join(groups, (F.col("digest") == F.col("d2")) & F.col("other").eqNullSafe(F.col("o2"))).select("digest", "id", checked["size"], F.col("b").alias("best"), F.col("m").alias("n"))
     single = met.filter("n = 1").select("digest", "id", "size", "best", "n")
     out = single.unionByName(same)
