@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axiomflow.llm.common import TwoGenerationCache, arrow_map, materialised, prepare
+from axiomflow.llm.common import TwoGenerationCache, arrow_map, materialised, prepare, resident
 from axiomflow.llm.components import connected_components
 
 SHINGLE, HASHES, ROWS = 5, 128, 4
@@ -32,9 +32,9 @@ PLACES = _random.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) +
 BAND_FACTORS = _random.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Compared only if at least this share of the signatures agrees: six standard deviations below 0.75.
 AGREEING = 0.52
-CACHE_WORDS = 300_000
-#: Rounds of centres go on while the rest holds more than this many pairs for each member of a bucket.
-PAIRS_PER_MEMBER = 8
+CACHE_WORDS = 200_000
+#: Rounds of centres, four times as many each time, go on while more pairs are left than this for each member of a bucket.
+PAIRS_PER_MEMBER = 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,13 +71,8 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-_shingler: list[Shingler] = []
-
-
 def shingler() -> Shingler:
-    if not _shingler:
-        _shingler.append(Shingler())
-    return _shingler[0]
+    return resident("shingler", Shingler)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -148,43 +143,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nothing: their component is their own id. Rows with equal ids count as documents of their own; if their ids tie as the
     least, all of them are ``kept``. A null id counts as no id when the least one is sought. Other columns are left out.
     """
-    prepare(df.sparkSession)
+    spark = df.sparkSession
+    prepare(spark)
     docs = materialised(signatures(df, id_col, text_col), "signatures")
     full = docs.filter("n_shingles > 0")
     banded = full.select("node", F.explode("bands").alias("bucket"))
     multi = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre != other").select("bucket", "centre")
-    members = materialised(banded.join(multi, "bucket").select("bucket", "node", "centre").distinct(), "buckets")
+    members = materialised(banded.join(multi.select("bucket"), "bucket").distinct(), "buckets")
+    bound = members.count()
 
     nodes = members.select("node").distinct()
     chosen = full.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("m"), F.max("sig").alias("sig")).select("node", F.col("m.id").alias("rep"), "sig")
     source = df.select(F.col(f"`{id_col}`").alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     texts = _one_text(materialised(source.join(chosen, F.col("d").eqNullSafe(F.col("rep"))).select("node", "sig", "text"), "candidate-texts"), docs)
 
-    links, rest = None, members
-    labels = None
+    centres, labels, spread = multi, None, 1
     while True:
-        compared = (rest if labels is None else _labelled(rest, labels)).filter("node != centre")
-        if labels is not None:
-            compared = compared.filter("label != centre_label")
-        new = _verified(compared.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), texts, percent)
-        links = materialised(new if links is None else links.unionByName(new), "links")
-        labels = materialised(connected_components(links), "labels")
-        # a centre is done with its bucket; buckets whose other members are all in one component are done
-        left = _labelled(rest.filter("node != centre"), labels)
-        span = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi")
-        left = materialised(left.join(span, "bucket").select("bucket", "node", "label", "lo", "n"), "rest")
-        # pairs to compare at most: each member outside of one component with all members
-        size = left.agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col("label") != F.col("lo"), F.col("n"))).alias("p")).first()
-        if not size.m:
+        known = labels if labels is not None else spark.createDataFrame([], "node binary, root binary")
+        new = _verified(_across(_labelled(members, known), _labelled(centres.withColumnRenamed("centre", "node"), known)), texts, percent)
+        labels = materialised(connected_components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)), "labels")
+        if centres is members:
             break
-        if size.p <= PAIRS_PER_MEMBER * size.m:
-            outer = left.filter("label != lo").select("bucket", F.col("node").alias("u"), F.col("label").alias("lu"))
-            pairs = outer.join(left.select("bucket", F.col("node").alias("v"), F.col("label").alias("lv")), "bucket").filter("lu != lv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            links = materialised(links.unionByName(_verified(pairs, texts, percent)), "links")
-            labels = materialised(connected_components(links), "labels")
+        # a centre is done with its bucket; a bucket is done if its other members are all in one component
+        left = members.join(centres.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti")
+        marked = materialised(_labelled(left, labels), "rest")
+        sizes = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        open_ = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("inner"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("n > most")
+        rest = materialised(marked.join(open_, "bucket").select("bucket", "node", (F.col("label") != F.col("inner")).alias("outer"), "n"), "rest")
+        # pairs of a member outside of its bucket's largest component and any other member
+        pairs = rest.agg(F.sum(F.when(F.col("outer"), F.col("n")))).first()[0]
+        if not pairs:
             break
-        centres = left.filter("label != lo").groupBy("bucket").agg(F.min("node").alias("centre"))
-        rest = materialised(left.join(centres, "bucket").select("bucket", "node", "centre"), "buckets")
+        members = rest.select("bucket", "node")
+        if pairs <= PAIRS_PER_MEMBER * bound:
+            centres = members  # few enough to compare all that aren't connected
+            continue
+        spread *= 4
+        centres = rest.filter("outer").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(spread)).alias("part")).agg(F.min("node").alias("centre")).select("bucket", "centre")
+        centres = materialised(centres, "centres")
 
     named = docs.join(labels, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("label"))
     least = named.filter("n_shingles > 0").groupBy("label").agg(F.min("id").alias("component_id"))
@@ -194,11 +190,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members with the labels of node and centre; a node without links is its own label."""
-    a = labels.select(F.col("node").alias("a"), F.col("root").alias("ar"))
-    b = labels.select(F.col("node").alias("b"), F.col("root").alias("br"))
-    met = members.join(a, F.col("node") == F.col("a"), "left").join(b, F.col("centre") == F.col("b"), "left")
-    return met.select("bucket", "node", "centre", F.coalesce("ar", "node").alias("label"), F.coalesce("br", "centre").alias("centre_label"))
+    """(bucket, node, label) of (bucket, node); a node without links is its own label."""
+    return members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+
+
+def _across(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a centre and a member of its bucket that aren't in one component, once each."""
+    c = centres.select("bucket", F.col("node").alias("c"), F.col("label").alias("cl"))
+    met = members.join(c, "bucket").filter("label != cl")
+    return met.select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
 
 
 def _one_text(found: DataFrame, docs: DataFrame) -> DataFrame:
