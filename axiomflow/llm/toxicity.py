@@ -1,23 +1,25 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased words and their beginnings of four to six letters; those that set labelled toxic examples apart
-from clean ones make the vectors. A block-max inverted index over the examples gives the exact nearest ones; their
-votes, weighted by similarity, are calibrated on left-out examples. A text without any such term gets the
-share of toxic labels among examples without any.
+Terms are lower-cased words and their beginnings of four to six letters. All terms of the examples make the vectors;
+the more surely a term sets labelled toxic examples apart from clean ones, the more it weighs, without a limit below
+which it is dropped. A block-max inverted index over the examples gives the exact nearest ones; their votes, weighted
+by similarity, are calibrated on left-out examples. A text without any term of the examples gets the share of toxic
+labels among examples without any.
 """
 
 from __future__ import annotations
 
-import math
 import pickle
 import re
 import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +28,8 @@ from axiomflow.llm.common import TwoGenerationCache, arrow_map, materialised, pr
 
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
-#: Bounds of the sample of labelled rows that the classifier learns from, by class, and of its terms.
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 3000, 9000, 4000
-#: Least log-likelihood ratio (G) and ratio of rates of a term that sets toxic examples apart.
-LEAST_G, LEAST_RATIO = 18.0, 4.0
+#: Bounds of the sample of labelled rows that the classifier learns from, by class.
+MAX_TOXIC, MAX_CLEAN = 3000, 9000
 NEIGHBOURS, BLOCK = 16, 64
 CACHE_WORDS = 200_000
 
@@ -39,45 +39,79 @@ def terms_of(word: str) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks of examples, with the greatest weight of each term in each block."""
+    """Unit vectors in blocks of examples: postings of rare terms; for terms of more than an eighth of the examples,
+    columns of weights and the greatest weight in each block."""
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.n = len(vectors)
-        blocks = -(-self.n // BLOCK) or 1
-        self.best = np.zeros((n_terms, blocks), np.float32)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[t].append((i, w))
-                self.best[t, i // BLOCK] = max(self.best[t, i // BLOCK], w)
-        self.ids = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.starts = [np.searchsorted(p, np.arange(blocks + 1) * BLOCK) for p in self.ids]
+        rows = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
+        terms = np.fromiter(chain.from_iterable(vectors), np.int64, len(rows))
+        self._build(len(vectors), n_terms, rows, terms, np.fromiter(chain.from_iterable(v.values() for v in vectors), float, len(rows)))
+
+    @classmethod
+    def of_arrays(cls, n: int, n_terms: int, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> BlockMaxIndex:
+        """An index from parallel arrays of examples, terms and weights."""
+        index = cls.__new__(cls)
+        index._build(n, n_terms, rows, terms, weights)
+        return index
+
+    def _build(self, n: int, n_terms: int, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        self.n = n
+        df = np.bincount(terms, minlength=n_terms)
+        common = np.flatnonzero(df > max(n // 8, 8))
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[terms] >= 0
+        blocks = -(-n // BLOCK)
+        self.columns = np.zeros((blocks * BLOCK, len(common)), np.float32)
+        self.columns[rows[dense], self.column[terms[dense]]] = weights[dense]
+        self.best = self.columns.reshape(blocks, BLOCK, len(common)).max(axis=1)
+        rows, terms, weights = rows[~dense], terms[~dense], weights[~dense]
+        order = np.lexsort((rows, terms))
+        self.ids, self.weights = rows[order].astype(np.int32), weights[order].astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of greatest dot product above 0, exactly; ties go to the lower place."""
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.best[terms] + 1e-6
-        top: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 1e-6 or len(top) == k and bound[b] < -top[-1][0]:
-                break
-            scores = np.zeros(BLOCK)
-            for t in terms:
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                if lo < hi:
-                    scores[self.ids[t][lo:hi] - b * BLOCK] += query[t] * self.weights[t][lo:hi]
-            top = sorted([*top, *((-scores[j], int(b) * BLOCK + int(j)) for j in np.flatnonzero(scores) if b * BLOCK + j != without)])[:k]
-        return [(-s, i) for s, i in top]
+        return self.search(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query)), k, without)
+
+    def search(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        scores = np.zeros(self.n)
+        at = self.column[terms]
+        rare = at < 0
+        for lo, hi, w in zip(self.starts[terms[rare]].tolist(), self.starts[terms[rare] + 1].tolist(), values[rare].tolist(), strict=True):
+            scores[self.ids[lo:hi]] += w * self.weights[lo:hi]
+        at, values = at[~rare], values[~rare]
+        if len(at) and self.n:
+            # no example can gain more from the common terms than its block's greatest weights give
+            bound = scores + np.repeat(self.best[:, at] @ values, BLOCK)[: self.n] + 1e-6
+            if without >= 0:
+                bound[without] = -1.0
+            top = np.argpartition(-bound, k)[:k] if k < self.n else np.arange(self.n)
+            least = (scores[top] + self.columns[np.ix_(top, at)] @ values).min() if k < self.n else 0.0
+            found = np.flatnonzero(bound >= least - 1e-6)
+            exact = scores[found] + self.columns[np.ix_(found, at)] @ values
+        else:
+            found, exact = np.arange(self.n), scores
+        keep = (exact > 0) & (found != without)
+        found, exact = found[keep], exact[keep]
+        if len(found) > k:
+            least = np.partition(exact, len(exact) - k)[len(exact) - k]
+            found, exact = found[exact >= least], exact[exact >= least]
+        order = np.argsort(-exact, kind="stable")[:k]
+        return list(zip(exact[order].tolist(), found[order].tolist(), strict=True))
 
 
 @dataclass
 class ToxicityModel:
-    """Terms, examples and calibration; of bounded size, so it may be broadcast."""
+    """Terms, examples and calibration; of bounded size, so it may be broadcast. The index is made again where it is loaded."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    index: BlockMaxIndex
+    #: Inverse document frequency of each term, times its weight for setting toxic examples apart.
+    scale: np.ndarray
+    #: Numbers of terms of the examples, and their terms and counts one example after another.
+    sizes: np.ndarray
+    held: np.ndarray
+    counts: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     ids: list
@@ -86,10 +120,19 @@ class ToxicityModel:
     slope: float = 1.0
     offset: float = 0.0
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()}
+    def __post_init__(self):
+        rows = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        values = (1 + np.log(self.counts)) * self.scale[self.held]
+        values /= np.sqrt(np.bincount(rows, values * values, len(self.sizes)))[rows]
+        self.index = BlockMaxIndex.of_arrays(len(self.sizes), len(self.terms), rows, self.held, values)
+
+    def packed(self) -> bytes:
+        """Without the index, compressed."""
+        return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k != "index"}, protocol=5), 1)
+
+    @classmethod
+    def unpacked(cls, packed: bytes) -> ToxicityModel:
+        return cls(**pickle.loads(zlib.decompress(packed)))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic among the neighbours, weighted by squared similarity and drawn to the base rate."""
@@ -102,10 +145,14 @@ class ToxicityModel:
 
     def calibrated(self, vote: float) -> float:
         x = min(max(vote, 1e-3), 1 - 1e-3)
-        return 1 / (1 + math.exp(-(self.slope * math.log(x / (1 - x)) + self.offset)))
+        return float(1 / (1 + np.exp(-(self.slope * np.log(x / (1 - x)) + self.offset))))
 
-    def score(self, counts: Counter) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(self.vector(counts), NEIGHBOURS) if counts else []
+    def near(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
+        values = (1 + np.log(counts)) * self.scale[terms]
+        return self.index.search(terms, values / np.sqrt((values * values).sum()), NEIGHBOURS, without) if len(terms) else []
+
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
+        near = self.near(terms, counts)
         return (self.calibrated(self.vote(near)) if near else self.empty), near
 
 
@@ -149,74 +196,104 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = marked.filter("y = 1").orderBy(*order).limit(max_toxic).unionByName(marked.filter("y = 0").orderBy(*order).limit(max_clean))
     # at most max_toxic + max_clean rows of an id and a label
     examples = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    examples = materialised(_term_lists(examples, "text"), "toxicity-examples")
-    seen = {r.y: r.n for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = seen.get(1, 0), seen.get(0, 0)
+    examples = materialised(examples.withColumn("row", F.monotonically_increasing_id()), "toxicity-examples")
+    table = _term_lists(examples, "text").toArrow()
+    ids = table.column("id").to_pylist()
+    by_id = np.array(sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), str(ids[i]))), np.int64)
+    ids = [ids[i] for i in by_id]
+    y = table.column("y").to_numpy().astype(float)[by_id]
+    n, n1 = len(y), int(y.sum())
+    n0 = n - n1
     all1, all0 = totals.get(1, 0), totals.get(0, 0)
     base = all1 / (all1 + all0) if all1 + all0 else 0.0
-    names: dict[str, int] = {}
-    if n1 and n0:
-        c = examples.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m")).filter("a >= 4")
-        share = n1 / (n1 + n0)
-        a, b = F.col("a"), F.col("m") - F.col("a")
-        part = lambda x, e: F.when(x > 0, x * F.log(x / (F.col("m") * e))).otherwise(0.0)
-        g = 2 * (part(a, share) + part(b, 1 - share))
-        strong = c.withColumn("g", g).filter((g >= LEAST_G) & (a / n1 >= LEAST_RATIO * (b + 0.5) / n0)).orderBy(F.desc("g"), "term").limit(MAX_TERMS)
-        names = {r.term: i for i, r in enumerate(strong.collect())}
-    rows = []
-    if names:
-        wanted = spark.createDataFrame([(k,) for k in names], "term string")
-        flat = examples.withColumn("row", F.monotonically_increasing_id()).select("id", "y", "row", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("id", "y", "row", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
-        picked = flat.join(F.broadcast(wanted), "term").groupBy("row").agg(F.first("id").alias("id"), F.first("y").alias("y"), F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("c"))
-        rows = sorted(((r.id, r.y, {names[k]: n for k, n in r.c.items()}) for r in picked.collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))
-    df = np.zeros(len(names))
-    for _, _, c in rows:
-        df[list(c)] += 1
-    idf = np.log((1 + n1 + n0) / (1 + df)) + 1
     w1, w0 = (all1 / n1 if n1 else 0.0), (all0 / n0 if n0 else 0.0)
-    with1 = sum(y for _, y, _ in rows)
-    e1, e0 = (n1 - with1) * w1, (n0 - (len(rows) - with1)) * w0
-    empty = (e1 + base) / (e1 + e0 + 1)
-    model = ToxicityModel(names, idf, BlockMaxIndex([], len(names)), np.array([y for _, y, _ in rows], float), np.array([w1 if y else w0 for _, y, _ in rows]), [i for i, _, _ in rows], base, empty)
-    vectors = [model.vector(Counter(c)) for _, _, c in rows]
-    model.index = BlockMaxIndex(vectors, len(names))
-    if rows:
-        votes = np.clip([model.vote(model.index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)], 1e-3, 1 - 1e-3)
-        model.slope, model.offset = _logistic(np.log(votes / (1 - votes)), model.labels, model.weights / model.weights.mean())
+    weights = np.where(y == 1, w1, w0)
+    found = pc.list_value_length(table.column("terms")).to_numpy().astype(np.int64)
+    sizes = found[by_id]
+    bare = sizes == 0 if n1 and n0 else np.ones(n, bool)
+    e1, e0 = weights[bare & (y == 1)].sum(), weights[bare & (y == 0)].sum()
+    empty = float((e1 + base) / (e1 + e0 + 1))
+    if not (n1 and n0):
+        nothing = np.zeros(0, np.int32)
+        return ToxicityModel({}, np.zeros(0), np.zeros(n, np.int64), nothing, nothing, y, weights, ids, base, empty)
+    place = table.column("row").to_numpy()[by_id]
+    counts = pc.list_flatten(table.column("counts")).to_numpy()
+    coded = pc.list_flatten(table.column("terms"))
+    del table
+    coded = coded.dictionary_encode().unify_dictionaries()
+    terms, names = np.concatenate([c.indices.to_numpy() for c in coded.chunks]), {t: i for i, t in enumerate(coded.chunk(0).dictionary.to_pylist())}
+    del coded
+    rank = np.empty(n, np.int32)
+    rank[by_id] = np.arange(n)
+    order = np.argsort(np.repeat(rank, found), kind="stable")
+    terms, counts = terms[order], counts[order]
+    df = np.bincount(terms, minlength=len(names))
+    a = np.bincount(terms[np.repeat(y == 1, sizes)], minlength=len(names))
+    scale = (np.log((1 + n) / (1 + df)) + 1) * _apart(a, df, n1, n0)
+    model = ToxicityModel(names, scale, sizes, terms, counts, y, weights, ids, base, empty)
+    votes = np.clip(_left_out_votes(examples, model, place), 1e-3, 1 - 1e-3)
+    model.slope, model.offset = _logistic(np.log(votes / (1 - votes)), y, weights / weights.mean())
     return model
 
 
+def _apart(a: np.ndarray, m: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Weights, 1 or more, of terms that ``a`` of ``n1`` toxic examples and ``m`` of all hold: for terms that
+    are more frequent in toxic ones they grow with the log-likelihood ratio (G) and the logarithm of the ratio of rates."""
+    b, n = m - a, n1 + n0
+    g = np.zeros(len(m))
+    for seen, expected in ((a, m * (n1 / n)), (b, m * (n0 / n)), (n1 - a, (n - m) * (n1 / n)), (n0 - b, (n - m) * (n0 / n))):
+        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.where(seen > 0, expected, 1)), 0.0)
+    ratio = np.log((a + 0.5) / (n1 + 1) * (n0 + 1) / (b + 0.5))
+    return 1 + (np.maximum(g, 0) * np.maximum(ratio, 0)) ** 2 / 4
+
+
+def _left_out_votes(examples: DataFrame, model: ToxicityModel, place: np.ndarray) -> np.ndarray:
+    """The vote on each example by the others. ``place``: the examples' values of ``row`` in the model's order."""
+    shared = examples.sparkSession.sparkContext.broadcast(model.packed())
+    order = {int(p): i for i, p in enumerate(place)}
+    key = f"toxicity votes {uuid.uuid4().hex}"
+
+    def run(batches):
+        m, words = resident(key, lambda: _loaded(shared.value))
+        for batch in batches:
+            votes = [m.vote(m.near(*_hits(words, text), order[row])) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["row", "vote"])
+
+    texts = examples.select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = {r.row: r.vote for r in texts.mapInArrow(run, "row bigint, vote double").collect()}
+    shared.destroy()
+    return np.array([found[int(p)] for p in place])
+
+
+def _loaded(packed: bytes) -> tuple[ToxicityModel, TwoGenerationCache]:
+    m = ToxicityModel.unpacked(packed)
+    return m, TwoGenerationCache(CACHE_WORDS, lambda w: tuple(m.terms[t] for t in terms_of(w) if t in m.terms))
+
+
+def _hits(words: TwoGenerationCache, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The model's terms in a text and their counts."""
+    return np.unique(np.fromiter(chain.from_iterable(map(words.__getitem__, WORDS.findall(text.lower()))), np.int64), return_counts=True)
+
+
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``score`` (0 to 1), ``predicted`` (1 if score >= 0.5) and ``evidence``: (id, similarity, label) of the nearest
-    examples. Only the text is looked at; a null text counts as empty. All rows stay; columns of the added names
-    are replaced."""
+    """Adds ``score`` (0 to 1), ``predicted`` (1 if score >= 0.5), ``neighbours``: (id, similarity, label) of the nearest
+    examples, and ``evidence``: the same for texts predicted as toxic, else empty. Only the text is looked at; a null
+    text counts as empty. All rows stay; columns of the added names are replaced."""
     spark = df.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
+    shared = spark.sparkContext.broadcast(model.packed())
     near_type = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
-    fields = [("score", T.DoubleType(), pa.float64()), ("predicted", T.IntegerType(), pa.int32()), ("evidence", near_type, pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())])))]
+    fields = [("score", T.DoubleType(), pa.float64()), ("predicted", T.IntegerType(), pa.int32()), *((name, near_type, pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))) for name in ("neighbours", "evidence"))]
     key = f"toxicity {uuid.uuid4().hex}"
 
-    def load():
-        m: ToxicityModel = pickle.loads(shared.value)
-        return m, TwoGenerationCache(CACHE_WORDS, lambda w: tuple(m.terms[t] for t in terms_of(w) if t in m.terms)), {}
-
     def make():
-        m, words, known = resident(key, load)
+        m, words = resident(key, lambda: _loaded(shared.value))
 
         def compute(texts):
             for text in texts:
-                counts: Counter = Counter()
-                for hit in filter(None, map(words.__getitem__, WORDS.findall(text.lower()))):
-                    for t in hit:
-                        counts[t] += 1
-                k = tuple(sorted(counts.items()))
-                if k not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[k] = m.score(counts)
-                s, near = known[k]
-                yield s, int(s >= 0.5), [{"id": str(m.ids[i]), "similarity": x, "label": int(m.labels[i])} for x, i in near]
+                s, near = m.score(*_hits(words, text))
+                found = [{"id": str(m.ids[i]), "similarity": x, "label": int(m.labels[i])} for x, i in near]
+                yield s, int(s >= 0.5), found, found if s >= 0.5 else []
 
         return compute
 

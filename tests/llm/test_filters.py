@@ -161,3 +161,15 @@ def test_pages(spark):
     for r in got:
         want = f"Title {r.page_id} First & bold {r.page_id}. Second line é {r.page_id}." if r.page_id < 12 else {12: "", 13: "", 14: "plain text <3", 15: "a b c d e"}[r.page_id]
         assert r.main_text == want
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    rnd = random.Random(7)
+    plain = [f"w{a}{b}{c}" for a in "abcdefghij" for b in "klmno" for c in "pqrst"]
+    rows = [(i, " ".join(rnd.choices(plain, k=30) + (["scum", "moron"] if i % 7 == 0 else []))) for i in range(140)]
+    docs = spark.createDataFrame([*rows, (200, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(35)], "doc_id bigint, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(out) == 141 and all(r.predicted == int(r.doc_id % 7 == 0 and r.doc_id < 140) for r in out)
+    # each text that holds a term of the examples is searched
+    assert all(bool(r.neighbours) == (r.doc_id < 140) for r in out)
