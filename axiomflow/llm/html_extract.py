@@ -4,7 +4,7 @@ A page is parsed leniently into elements and texts. A wrapper is a union-free ex
 element: fixed elements, optional ones, repeated groups, constant texts and text slots. Pages of one host are
 aligned one after another; what one side lacks becomes optional, neighbours of one shape become repeated, texts that
 differ become slots. Wrappers of parts of a host are aligned in the same way, so all pages count and no task
-needs a whole host. The main text lies where the slots hold most of the host's text.
+needs a whole host. The main text lies in the smallest region that holds all of the slots' text.
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 CONSTANT_CHARS = 120
 #: A text that is the same on this many pages of a host, or more, belongs to the wrapper.
 CONSTANT_PAGES = 5
-#: The main region holds this share of the text of the region around it.
-MAIN_SHARE = 0.6
 PART_HOSTS, PARTS = 500, 64
 
 
@@ -187,7 +185,7 @@ def plan(wrapper: list) -> tuple[list[str], set[str]]:
     while True:
         inner = [(slot_chars(i), i) for i in here[ITEMS] if i[KEY] not in ("#", "(") and not i[REPEATED] and tag(i[KEY]) not in INLINE and not re.fullmatch(r"p|h\d|pre|blockquote|ul|ol|table", tag(i[KEY]))]
         most, best = max(inner, key=lambda x: x[0], default=(0, None))
-        if not most or most < MAIN_SHARE * slot_chars(here):
+        if not most or most < slot_chars(here):  # a sibling with text of its own belongs to the article
             break
         way.append(best[KEY])
         here = best

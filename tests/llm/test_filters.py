@@ -173,3 +173,18 @@ def test_toxicity_learns_from_few_labels(spark):
     assert len(out) == 141 and all(r.predicted == int(r.doc_id % 7 == 0 and r.doc_id < 140) for r in out)
     # each text that holds a term of the examples is searched
     assert all(bool(r.neighbours) == (r.doc_id < 140) for r in out)
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://{host}.example.com/{i}", body) for i, (host, body) in enumerate(pages)]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    return [r.main_text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_titles_and_leads_beside_the_body_stay(spark):
+    rnd = random.Random(9)
+    draw = lambda n: " ".join(rnd.choice("abcdefgh") * 5 for _ in range(n))
+    parts = [(f"Title {i}", draw(12), draw(30), draw(30)) for i in range(7)]
+    a = [("a", f'<body><nav>x</nav><p>Same line.</p><article><h1>{t}</h1><div class="body"><p>{x}</p><p>{y}</p></div></article></body>') for t, _, x, y in parts]
+    b = [("b", f'<body><article><div class="lead">{s}</div><div class="text"><p>{x}</p></div></article></body>') for _, s, x, _ in parts]
+    assert extracted(spark, a + b) == [f"{t} {x} {y}" for t, _, x, y in parts] + [f"{s} {x}" for _, s, x, _ in parts]
