@@ -9,6 +9,7 @@ needs a whole host. The main text lies in the smallest region that holds all of
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -34,9 +35,9 @@ BARRIERS = frozenset("ul ol dl table td th body html article section div main".s
 DROPPED = frozenset("head title nav header footer aside form button select input menu dialog svg math object audio video canvas map".split()) | RAW
 NOT_CONTENT = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|footer|header|masthead|breadcrumb\w*|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|cookies?|consent|notice|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|search|pagination|pager|toolbar|widget|skip-link|legal|copyright)(?:$|[-_ ])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Texts up to this length are compared as they are, longer ones by their beginning and length.
+#: Texts up to this length are compared as they are, longer ones by a digest of the whole.
 CONSTANT_CHARS = 120
-#: A text that is the same on this many pages of a host, or more, belongs to the wrapper.
+#: A text that is the same on this many pages of a host, or more, belongs to the wrapper; copies of a page count once.
 CONSTANT_PAGES = 5
 PART_HOSTS, PARTS = 500, 64
 
@@ -95,26 +96,42 @@ def tag(key: str) -> str:
     return key.split(".", 1)[0]
 
 
-# A wrapper item is [key, optional, repeated, pages, chars, constant, items]; key "#" is a text, "(" a repeated group.
+# A wrapper item is [key, optional, repeated, pages, chars, constant, items]; key "#" is a text, "(" a repeated group. The pages of
+# a text are the digests of up to CONSTANT_PAGES different ones.
 KEY, OPTIONAL, REPEATED, PAGES, CHARS, CONSTANT, ITEMS = range(7)
 
 
 def _constant(text: str) -> str:
-    return text if len(text) <= CONSTANT_CHARS else f"{text[:CONSTANT_CHARS]}\0{len(text)}"
+    return text if len(text) <= CONSTANT_CHARS else f"\0{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
 
-def describe(node: list) -> list:
-    """A page's element as a wrapper item."""
+def _digest(page: list) -> int:
+    """Of all texts of a page that aren't dropped."""
+    h = hashlib.blake2b(digest_size=6)
+    todo = [page]
+    while todo:
+        for child in todo.pop()[1]:
+            if isinstance(child, str):
+                h.update(f"{' '.join(child.split())}\0".encode("utf-8", "surrogatepass"))
+            elif not child[2]:
+                todo.append(child)
+    return int.from_bytes(h.digest(), "little")
+
+
+def describe(node: list, page: int | None = None) -> list:
+    """A page's element as a wrapper item; ``page`` is the digest of the page, by default of the element."""
+    if page is None:
+        page = _digest(node)
     items = []
     for child in node[1]:
         if isinstance(child, str):
             text = " ".join(child.split())
             if text:
-                items.append(["#", False, False, 1, len(text), _constant(text), []])
+                items.append(["#", False, False, [page], len(text), _constant(text), []])
         elif not child[2]:
-            items.append(describe(child))
+            items.append(describe(child, page))
     items = _folded(items)
-    return [node[0], False, False, 1, sum(i[CHARS] for i in items), None, items]
+    return [node[0], False, False, [], sum(i[CHARS] for i in items), None, items]
 
 
 def _shape(item: list) -> str:
@@ -135,7 +152,7 @@ def _folded(items: list) -> list:
                 at += 1
                 continue
             while [i[KEY] for i in items[end : end + width]] == shape:
-                unit = [combine(a, b, same_page=True) for a, b in zip(unit, items[end : end + width], strict=True)]
+                unit = [combine(a, b) for a, b in zip(unit, items[end : end + width], strict=True)]
                 end += width
             if end == at + width:
                 out.append(items[at])
@@ -145,28 +162,28 @@ def _folded(items: list) -> list:
                 unit[0][REPEATED] = True
                 out.append(unit[0])
             else:
-                out.append(["(", False, True, 1, sum(i[CHARS] for i in unit), None, unit])
+                out.append(["(", False, True, [], sum(i[CHARS] for i in unit), None, unit])
             at = end
         items = out
     return items
 
 
-def combine(a: list, b: list, same_page: bool = False) -> list:
+def combine(a: list, b: list) -> list:
     """One item for two of one key: differing texts make a slot, children are aligned."""
-    pages = a[PAGES] if same_page else a[PAGES] + b[PAGES]
+    pages = a[PAGES] if a[PAGES] == b[PAGES] else sorted({*a[PAGES], *b[PAGES]})[:CONSTANT_PAGES]
     constant = a[CONSTANT] if a[CONSTANT] == b[CONSTANT] else None
-    return [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], constant, align(a[ITEMS], b[ITEMS], same_page)]
+    return [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], constant, align(a[ITEMS], b[ITEMS])]
 
 
-def align(a: list, b: list, same_page: bool = False) -> list:
+def align(a: list, b: list) -> list:
     """Children of two items in one sequence; what only one side has becomes optional."""
     left, right = [_shape(i) for i in a], [_shape(i) for i in b]
     if left == right:
-        return [combine(x, y, same_page) for x, y in zip(a, b, strict=True)]
+        return [combine(x, y) for x, y in zip(a, b, strict=True)]
     out = []
     for what, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if what == "equal":
-            out += [combine(x, y, same_page) for x, y in zip(a[i:j], b[k:m], strict=True)]
+            out += [combine(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:
             out += [[x[KEY], True, *x[REPEATED:]] for x in (*a[i:j], *b[k:m])]
     return out
@@ -175,7 +192,7 @@ def align(a: list, b: list, same_page: bool = False) -> list:
 def slot_chars(item: list) -> int:
     """Characters in text slots; texts that many pages share don't count."""
     if item[KEY] == "#":
-        return 0 if item[CONSTANT] is not None and item[PAGES] >= CONSTANT_PAGES else item[CHARS]
+        return 0 if item[CONSTANT] is not None and len(item[PAGES]) >= CONSTANT_PAGES else item[CHARS]
     return sum(map(slot_chars, item[ITEMS]))
 
 
@@ -194,7 +211,7 @@ def plan(wrapper: list) -> tuple[list[str], set[str]]:
     def gather(item: list, path: str) -> None:
         for i in item[ITEMS]:
             if i[KEY] == "#":
-                if i[CONSTANT] is not None and i[PAGES] >= CONSTANT_PAGES and not i[REPEATED]:
+                if i[CONSTANT] is not None and len(i[PAGES]) >= CONSTANT_PAGES and not i[REPEATED]:
                     constants.add(f"{path}\0{i[CONSTANT]}")
             elif not i[REPEATED] and not re.fullmatch(r"h\d", tag(i[KEY])):  # a heading is content even if pages share it
                 gather(i, f"{path}/{i[KEY]}")

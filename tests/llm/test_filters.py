@@ -188,3 +188,14 @@ def test_titles_and_leads_beside_the_body_stay(spark):
     a = [("a", f'<body><nav>x</nav><p>Same line.</p><article><h1>{t}</h1><div class="body"><p>{x}</p><p>{y}</p></div></article></body>') for t, _, x, y in parts]
     b = [("b", f'<body><article><div class="lead">{s}</div><div class="text"><p>{x}</p></div></article></body>') for _, s, x, _ in parts]
     assert extracted(spark, a + b) == [f"{t} {x} {y}" for t, _, x, y in parts] + [f"{s} {x}" for _, s, x, _ in parts]
+
+
+def test_long_texts_are_compared_whole_and_copies_count_once(spark):
+    opening = "The station on the hill reports each morning what the instruments have seen over the night, with wind from the west and a temperature of "
+    weather = [f"{opening}{10 + i} degrees." for i in range(6)]
+    a = [("a", f"<body><article><h1>Station {i}</h1><p>{w}</p></article></body>") for i, w in enumerate(weather)]
+    copy = "<body><article><h1>One</h1><p>Only this page says it.</p></article><p>Footer line.</p></body>"
+    others = [f"<body><article><h1>Two {i}</h1><p>Other text {i}.</p></article><p>Footer line.</p></body>" for i in range(5)]
+    got = extracted(spark, a + [("b", copy)] * 6 + [("b", o) for o in others])
+    assert got == [f"Station {i} {w}" for i, w in enumerate(weather)] + ["One Only this page says it."] * 6 + [f"Two {i} Other text {i}." for i in range(5)]
+    assert extracted(spark, [("c", copy)] * 6) == ["One Only this page says it. Footer line."] * 6
