@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from axiomflow.llm.common import materialised, prepare
 
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа", "Mr|Herr|Monsieur|Señor|Sr|г-н"
+HEX = "[0-9a-fA-F]{1,4}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ipv6": rf"(?<![\p{{L}}\d:.])(?=[a-fA-F:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}}|(?:{HEX}:){{1,7}}:|:(?::{HEX}){{1,7}})(?![\p{{L}}\d:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)"
+    # without brackets or a leading +: 3-3-4 digits, a trunk 0 and an area, pairs
+    r"|(?<![\d+.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4}|0\d(?:[ .-]\d{2}){4}|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5})(?![\d-]|\.\d)",
     "card": r"(?<![\d+-])(?:\d{4}[ -]?){3}\d{1,7}(?!\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]*\d)[A-Z0-9]{4}){2,6}(?: (?=[A-Z]*\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[a-f0-9]{32,64}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
     "name": rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
 }
@@ -43,10 +47,16 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """One form for all writings: lower-cased e-mails and names (with the title's gender), digits of numbers."""
+    """One form for all writings: lower-cased e-mails and names (with the title's gender), digits of numbers, IBANs without
+    spaces, all eight groups of IPv6 addresses."""
     digits = F.regexp_replace(entity, r"[^0-9]", "")
     person = F.concat(F.when(entity.rlike(rf"^(?:{FEMALE})\b"), "female ").otherwise("male "), F.lower(F.regexp_extract(entity, r"^\S+ (.*)$", 1)))
-    return F.when(kind.isin(*DIGITS), digits).when(kind == "email", F.lower(entity)).when(kind == "name", person).otherwise(entity)
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(entity, "::", 1)), F.when(entity.contains("::"), groups(F.substring_index(entity, "::", -1))).otherwise(F.array().cast("array<string>"))
+    eight = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)
+    ipv6 = F.array_join(F.transform(eight, lambda g: F.lpad(F.lower(g), 4, "0")), ":")
+    numbers = F.when(kind.isin(*DIGITS), digits).when(kind == "iban", F.regexp_replace(entity, " ", "")).when(kind == "ipv6", ipv6)
+    return numbers.when(kind == "email", F.lower(entity)).when(kind == "name", person).otherwise(entity)
 
 
 def _number(h: Column, place: Column | int, most: int) -> Column:
@@ -82,6 +92,7 @@ def surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     card = F.when(_luhn(form) == 0, F.concat(short, check.cast("string"))).otherwise(number)
     ssn = F.concat(F.lit("9"), F.substring(drawn, 1, 8))
     ip = F.concat_ws(".", *[(_number(h, i, 254) + 1).cast("string") for i in range(4)])
+    ipv6 = F.concat_ws(":", F.lit("2001"), F.lit("0db8"), *[F.substring(h, 4 * i + 1, 4) for i in range(6)])
     mail = F.concat(F.lit("u"), F.substring(h, 1, 14), F.lit("@mail"), _number(h, 20, 10).cast("string"), F.lit(".example."), _pick(["com", "net", "org"], _number(h, 21, 3)))
     long_hex = F.concat(h, h)
     secret = F.when(form.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16)))).otherwise(F.substring(long_hex, F.lit(1), n))
@@ -93,17 +104,20 @@ def surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     words = F.size(F.split(form, r"[ -]"))
     name = F.concat(who, F.lit(" "), F.when(words > 2, F.concat(F.lower(given), F.lit(" "), family)).otherwise(family))
     out = name
-    for k, v in {"email": mail, "ip": ip, "ssn": ssn, "phone": number, "card": card, "iban": iban, "secret": secret}.items():
+    for k, v in {"email": mail, "ip": ip, "ipv6": ipv6, "ssn": ssn, "phone": number, "card": card, "iban": iban, "secret": secret}.items():
         out = F.when(kind == k, v).otherwise(out)
     return out
 
 
 def rendered(kind: Column, entity: Column, form: Column) -> Column:
-    """A surrogate's canonical form in the writing of the entity: separators of numbers, title and capitals of names."""
+    """A surrogate's canonical form in the writing of the entity: separators of numbers, title and capitals of names. IPv6
+    addresses are written in full."""
     place = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), r"[^0-9]", ""))
     number = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(form, place(i), F.lit(1))).otherwise(c)), "")
+    seen = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), " ", ""))
+    iban = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(form, seen(i), F.lit(1)))), "")
     name = F.concat(F.substring_index(entity, " ", 1), F.lit(" "), F.initcap(F.regexp_extract(form, r"^\S+ (.*)$", 1)))
-    return F.when(kind.isin(*DIGITS), number).when(kind == "name", name).otherwise(form)
+    return F.when(kind.isin(*DIGITS), number).when(kind == "iban", iban).when(kind == "name", name).otherwise(form)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:

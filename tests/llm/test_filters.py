@@ -199,3 +199,12 @@ def test_long_texts_are_compared_whole_and_copies_count_once(spark):
     got = extracted(spark, a + [("b", copy)] * 6 + [("b", o) for o in others])
     assert got == [f"Station {i} {w}" for i, w in enumerate(weather)] + ["One Only this page says it."] * 6 + [f"Two {i} Other text {i}." for i in range(5)]
     assert extracted(spark, [("c", copy)] * 6) == ["One Only this page says it. Footer line."] * 6
+
+
+def test_surrogates_of_plain_phones_grouped_ibans_and_ipv6(spark):
+    text = "a 555-123-4567 b DE89 3704 0044 0532 0130 00 c DE89370400440532013000 d 2001:DB8:0:0::1 e 2001:db8::1 f 030 1234567 g 12:30:45 h GB29 NWBK 6016 1331 9268 19."
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    six = r"(2001:0db8(?::[0-9a-f]{4}){6})"
+    m = re.fullmatch(rf"a (\d{{3}}-\d{{3}}-\d{{4}}) b (DE\d\d(?: \d{{4}}){{4}} \d\d) c (DE\d{{20}}) d {six} e {six} f (0\d\d \d{{7}}) g 12:30:45 h (GB\d\d(?: \d{{4}}){{4}} \d\d)\.", got.private_text)
+    assert m and got.n_entities == 7 and m[2].replace(" ", "") == m[3] and m[4] == m[5]
+    assert not {m[i] for i in range(1, 8)} & set(re.split(r" [a-h] |^a |\.$", text))
