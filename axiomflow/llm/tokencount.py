@@ -101,13 +101,18 @@ class PrefixStore:
         return total
 
     def longest_within(self, budget: int) -> int:
-        """The greatest n with tokens(m) <= budget for the stored word ends m up to n, refined inside the next word."""
+        """The greatest n with tokens(n) <= budget. Counts aren't monotone: a longer prefix may end in one token where a shorter
+        one takes several, so all places of the next words are looked at, not only those up to the first beyond the budget."""
         k = bisect_right(self.counts, budget)
-        at = self.ends[k - 1] if k else 0
-        stop = self.ends[k] if k < len(self.ends) else at
-        while at < stop and self.tokens(at + 1) <= budget:
-            at += 1
-        return at
+        # a cut changes at most the word before it and the next one, so beyond these no prefix is within the budget
+        stop = self.ends[min(k + 1, len(self.ends) - 1)] if self.ends else 0
+        least = self.ends[k - 1] if k else 0
+        for n in range(stop, least, -1):
+            if self.tokens(n) <= budget:
+                return n
+        while least and self.tokens(least) > budget:
+            least -= 1
+        return least
 
 
 def counter(vocabulary: str) -> Counter:

@@ -56,3 +56,12 @@ def test_bounded_cache():
 
     cache = TwoGenerationCache(3, lambda k: k * 2)
     assert [cache[k] for k in (1, 2, 3, 1, 4, 1, 5, 6, 7, 1)] == [2, 4, 6, 2, 8, 2, 10, 12, 14, 2] and len(cache) <= 3
+
+
+def test_longest_prefix_within_a_budget(libraries):
+    lib, counter = libraries["byte_bpe_50k.json"], tokencount.counter("byte_bpe_50k.json")
+    for text in ("Wednesdayish", "It was Wednesdayish  weather, wasn't it?  Unbelievably so", " \n\n  x 日本語 they've"):
+        store = tokencount.PrefixStore(counter.model, text, *counter.table(text))
+        exact = [len(lib.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+        for budget in range(exact[-1] + 1):
+            assert store.longest_within(budget) == max(n for n, c in enumerate(exact) if c <= budget)
