@@ -91,7 +91,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 least = signature(s)
                 keys = _mixed((least.reshape(BANDS, ROWS) * BAND_FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                yield len(s), node, keys.view(np.int64), (least >> np.uint64(56)).astype(np.uint8).tobytes()
+                yield len(s), node, keys.view(np.int64), (least & np.uint64(255)).astype(np.uint8).tobytes()
 
         return compute
 

@@ -114,3 +114,12 @@ def test_exact_goes_on_from_its_state(spark, tmp_path):
 def test_exact_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(tmp_path / "none.parquet"))
     assert exact_dedup.exact_dedup(spark, str(tmp_path / "none.parquet")).count() == 0
+
+
+def test_signatures_of_unrelated_long_texts_disagree(spark):
+    rnd = random.Random(11)
+    rows = [(i, " ".join(str(rnd.randrange(10**6)) for _ in range(2000))) for i in range(6)]
+    sigs = [bytes(r.sig) for r in minhash.signatures(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()]
+    for i, a in enumerate(sigs):
+        for b in sigs[:i]:
+            assert sum(x == y for x, y in zip(a, b, strict=True)) < minhash.AGREEING * minhash.HASHES / 4
