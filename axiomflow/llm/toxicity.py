@@ -162,7 +162,7 @@ def _term_lists(df: DataFrame, text_col: str) -> DataFrame:
     def make():
         def compute(texts):
             for text in texts:
-                c = Counter(t for w, n in Counter(WORDS.findall(text.lower())).items() for t in terms_of(w) for _ in range(min(n, 100)))
+                c = Counter(t for w in WORDS.findall(text.lower()) for t in terms_of(w))
                 yield list(c), list(c.values())
 
         return compute

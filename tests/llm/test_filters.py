@@ -208,3 +208,11 @@ def test_surrogates_of_plain_phones_grouped_ibans_and_ipv6(spark):
     m = re.fullmatch(rf"a (\d{{3}}-\d{{3}}-\d{{4}}) b (DE\d\d(?: \d{{4}}){{4}} \d\d) c (DE\d{{20}}) d {six} e {six} f (0\d\d \d{{7}}) g 12:30:45 h (GB\d\d(?: \d{{4}}){{4}} \d\d)\.", got.private_text)
     assert m and got.n_entities == 7 and m[2].replace(" ", "") == m[3] and m[4] == m[5]
     assert not {m[i] for i in range(1, 8)} & set(re.split(r" [a-h] |^a |\.$", text))
+
+
+def test_a_long_text_has_the_vector_of_its_own_example(spark):
+    rows = [(1, "scum " * 400 + "and " * 3), (2, "and so on"), (3, "scum and")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, toxic int"))
+    best = {r.doc_id: max(x.similarity for x in r.neighbours if x.id == str(r.doc_id)) for r in toxicity.score(docs, model).collect()}
+    assert all(abs(s - 1) < 1e-6 for s in best.values()) and max(model.counts) == 400
