@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,14 +14,17 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    key = "spark.checkpoint.dir"
-    base = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
+    """The folder of ``spark.checkpoint.dir``. Only in local mode, where driver and tasks are one process, may it be unset:
+    a temporary folder then takes its place. Anywhere else tables would go astray, so an unset folder is an error."""
+    sc, key = spark.sparkContext, "spark.checkpoint.dir"
+    base = sc.getConf().get(key) or spark.conf.get(key, None)
     if not base:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"set {key} to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="axiomflow-")
         spark.conf.set(key, base)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
