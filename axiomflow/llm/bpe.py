@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from axiomflow.llm.common import TwoGenerationCache, arrow_map, prepare, resident
+from axiomflow.llm.common import ByteCache, arrow_map, prepare, resident
 
 #: Stands for the end of a word in symbol strings, whose other characters are bytes 0-255.
 END = "Ā"
@@ -30,8 +30,9 @@ SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A space that is not alone between two texts; such texts are split as a whole.
 ODD_SPACE = re.compile(r"\A\s| \s|\s |\s\Z")
-CACHE_WORDS = 200_000
-MEMO_PAIRS = 300_000
+#: Bytes of each cache of words and of chunks in a worker process.
+CACHE_BYTES = 32 << 20
+MEMO_PAIRS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -228,8 +229,8 @@ class Encoder:
 
     def __init__(self, model: BpeModel):
         self.model = model
-        self.word_cache = TwoGenerationCache(CACHE_WORDS, lambda w: np.array(model.encode_word(w), "<u4").tobytes())
-        self.cache = TwoGenerationCache(CACHE_WORDS, self._chunk)
+        self.word_cache = ByteCache(CACHE_BYTES, lambda w: np.array(model.encode_word(w), "<u4").tobytes())
+        self.cache = ByteCache(CACHE_BYTES, self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([self.word_cache[w] for w in self.model.words(chunk)])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import sys
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from axiomflow.storage import fresh_path, materialised, shared_dir
+
+__all__ = ["ByteCache", "arrow_map", "delete_path", "fresh_path", "materialised", "prepare", "release", "resident", "shared_dir"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -30,32 +33,6 @@ def prepare(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="axiomflow-")
-        spark.conf.set(CHECKPOINT_KEY, base)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialised(df: DataFrame, label: str = "table") -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: short lineage, safe from lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -102,28 +79,47 @@ def arrow_map(
 _resident: dict[str, object] = {}
 
 
+def release() -> None:
+    """Lets go of what this worker process has kept for other operators, and gives the memory back to the system."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: freed memory stays with the process
+            pass
+
+
 def resident(key: str, make: Callable[[], object]):
     """The object that this worker process keeps between tasks: one at a time, so that workers which serve one
     operator after another don't add up their models and caches."""
     if key not in _resident:
-        _resident.clear()
+        release()
         _resident[key] = make()
     return _resident[key]
 
 
-class TwoGenerationCache(dict):
-    """A bounded map: when the young generation is full it becomes the old one; hits in the old one move back."""
+class ByteCache(dict):
+    """A map bounded by the bytes of its keys, in two generations: a full young one becomes the old one, hits in the old
+    one move back. Keys longer than ``longest`` are computed each time and never kept."""
+
+    #: Bytes that an entry takes besides its key's characters, about.
+    ENTRY = 200
 
-    def __init__(self, limit: int, make: Callable):
+    def __init__(self, limit: int, make: Callable, longest: int = 64):
         super().__init__()
-        self.limit, self.make, self.old = limit, make, {}
+        self.limit, self.make, self.longest, self.old, self.size = limit // 2, make, longest, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
+            if len(key) > self.longest:
+                return value
+        if self.size >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.size = 0
         self[key] = value
+        self.size += self.ENTRY + len(key)
         return value

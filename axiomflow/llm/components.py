@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from axiomflow.llm.common import materialised
@@ -29,11 +29,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every node's neighbours are met in grouped minima and joins, never in a list.
     """
     now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialised(now, "edges")
     mark = None
     while True:
-        row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"), F.count_distinct("u").alias("k")).first()
-        if (row.n, row.h) == mark or not row.n:
+        seen = Observation()
+        now = materialised(now.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")), "edges")
+        if seen.get == mark or not seen.get["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = (row.n, row.h)
-        now = materialised(_small_star(_large_star(now)), "edges")
+        mark = seen.get
+        now = _small_star(_large_star(now))

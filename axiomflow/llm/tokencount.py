@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axiomflow.llm.bpe import BYTE_WORDS, CACHE_WORDS, BpeModel
-from axiomflow.llm.common import TwoGenerationCache, arrow_map, prepare, resident
+from axiomflow.llm.bpe import BYTE_WORDS, CACHE_BYTES, BpeModel
+from axiomflow.llm.common import ByteCache, arrow_map, prepare, resident
 
 
 def prefix_counts(model: BpeModel, word: str) -> list[int]:
@@ -45,8 +45,8 @@ class Counter:
         self.model = BpeModel(vocabulary)
         if self.model.suffix:
             raise ValueError("prefix counts need a byte-level vocabulary")
-        self.words = TwoGenerationCache(CACHE_WORDS, lambda w: prefix_counts(self.model, w)[-1])
-        self.cache = TwoGenerationCache(CACHE_WORDS, lambda c: sum(map(self.words.__getitem__, self.model.words(c))))
+        self.words = ByteCache(CACHE_BYTES, lambda w: prefix_counts(self.model, w)[-1])
+        self.cache = ByteCache(CACHE_BYTES, lambda c: sum(map(self.words.__getitem__, self.model.words(c))))
 
     def count(self, text: str) -> int:
         """The last entry of the table of prefix counts."""

@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axiomflow.llm.common import TwoGenerationCache, arrow_map, materialised, prepare, resident
+from axiomflow.llm.common import ByteCache, arrow_map, materialised, prepare, resident
 
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 #: Bounds of the sample of labelled rows that the classifier learns from, by class.
 MAX_TOXIC, MAX_CLEAN = 3000, 9000
 NEIGHBOURS, BLOCK = 16, 64
-CACHE_WORDS = 200_000
+CACHE_BYTES = 48 << 20
 
 
 def terms_of(word: str) -> list[str]:
@@ -265,12 +265,12 @@ def _left_out_votes(examples: DataFrame, model: ToxicityModel, place: np.ndarray
     return np.array([found[int(p)] for p in place])
 
 
-def _loaded(packed: bytes) -> tuple[ToxicityModel, TwoGenerationCache]:
+def _loaded(packed: bytes) -> tuple[ToxicityModel, ByteCache]:
     m = ToxicityModel.unpacked(packed)
-    return m, TwoGenerationCache(CACHE_WORDS, lambda w: tuple(m.terms[t] for t in terms_of(w) if t in m.terms))
+    return m, ByteCache(CACHE_BYTES, lambda w: tuple(m.terms[t] for t in terms_of(w) if t in m.terms))
 
 
-def _hits(words: TwoGenerationCache, text: str) -> tuple[np.ndarray, np.ndarray]:
+def _hits(words: ByteCache, text: str) -> tuple[np.ndarray, np.ndarray]:
     """The model's terms in a text and their counts."""
     return np.unique(np.fromiter(chain.from_iterable(map(words.__getitem__, WORDS.findall(text.lower()))), np.int64), return_counts=True)
 

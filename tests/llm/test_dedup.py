@@ -73,11 +73,33 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_rounds_of_centres_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "PAIRS_PER_MEMBER", 0)
-    rows = corpus()[-120:]
+def test_a_group_around_the_limit_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "GROUP_PAIRS", 5)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(260):  # each with words of its own; some share their changes, some are copies, some hold only half
+        now = list(base)
+        for k in range(rnd.choice([2, 3, 4, 5, 6])):
+            now[rnd.randrange(150)] = f"own{i}x{k}" if rnd.random() < 0.7 else f"shared{rnd.randrange(4)}"
+        texts.append(" ".join(now[: 75 if i % 17 == 0 else 150]))
+    rows = list(enumerate([*texts, texts[5], texts[5].upper()]))
+    want = brute_near(rows)
+    assert 20 < len({r[2] for r in want}) < 200
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted(tuple(r) for r in minhash.near_duplicates(df).collect()) == brute_near(rows)
+    assert sorted(tuple(r) for r in minhash.near_duplicates(df).collect()) == want
+
+
+def test_words_of_any_length_and_place(monkeypatch):
+    rnd = random.Random(4)
+    parts = ["x" * rnd.randrange(1, 60) + str(i % 7) for i in range(300)]
+    text = "".join(w + rnd.choice([" ", "\n", "  \t"]) for w in parts).encode()
+    want = [minhash.word_hashes(w.encode())[0] for w in parts]
+    assert minhash.word_hashes(text).tolist() == want and len(set(want)) == len(set(parts))
+    monkeypatch.setattr(minhash, "PIECE", 32)
+    same = [minhash.word_hashes(w.encode())[0] for w in parts]
+    assert minhash.word_hashes(text).tolist() == same and minhash.word_hashes(b"  " * 50 + text).tolist() == same
+    assert minhash.word_hashes(b" " * 100).tolist() == [] == minhash.word_hashes(b"").tolist()
 
 
 def brute_exact(rows):

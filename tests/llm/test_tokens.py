@@ -52,10 +52,16 @@ def test_empty_table(spark, docs):
 
 
 def test_bounded_cache():
-    from axiomflow.llm.common import TwoGenerationCache
-
-    cache = TwoGenerationCache(3, lambda k: k * 2)
-    assert [cache[k] for k in (1, 2, 3, 1, 4, 1, 5, 6, 7, 1)] == [2, 4, 6, 2, 8, 2, 10, 12, 14, 2] and len(cache) <= 3
+    from axiomflow.llm.common import ByteCache
+
+    made = []
+    cache = ByteCache(2 * 10 * (ByteCache.ENTRY + 2), lambda k: made.append(k) or k * 2, longest=4)
+    for _ in range(3):
+        for i in range(30):
+            assert cache[f"{i:02}"] == f"{i:02}" * 2
+        assert cache["00"] == "0000" and len(cache) <= 11 and len(cache.old) <= 11
+    long = len(made)
+    assert cache["abcde"] == cache["abcde"] and len(made) == long + 2 and "abcde" not in cache
 
 
 def test_longest_prefix_within_a_budget(libraries):
