@@ -157,8 +157,9 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are alike. texts: (node, sig, text), one row for each node. The text of u comes once
     for each GROUP_PAIRS pairs, in front of them; a hot u is dealt to many groups."""
+    pairs = materialised(pairs, "pairs")
     sizes = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / GROUP_PAIRS).alias("parts"))
-    dealt = pairs.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), "v")
+    dealt = materialised(pairs.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), "v"), "pairs")
     body = texts.select(F.col("node"), "sig", F.col("text").cast("binary").alias("text"))
     own = dealt.select("u", "part").distinct().join(body.withColumnRenamed("node", "u"), "u").select("u", "part", F.lit(None).cast("binary").alias("v"), "sig", "text")
     others = dealt.join(body.withColumnRenamed("node", "v"), "v").select("u", "part", "v", "sig", "text")
