@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from axiomflow.storage import fresh_path, materialised, shared_dir
 
-__all__ = ["ByteCache", "arrow_map", "delete_path", "fresh_path", "materialised", "prepare", "release", "resident", "shared_dir"]
+__all__ = ["ByteCache", "arrow_map", "delete_path", "free_name", "fresh_path", "materialised", "prepare", "release", "resident", "shared_dir"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -38,6 +38,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_map(
     df: DataFrame,
     text_col: str,
@@ -54,9 +62,7 @@ def arrow_map(
     """
     names = [f[0] for f in fields]
     passed = [c for c in (df.columns if keep is None else keep) if c not in names]
-    hidden = "__text"
-    while hidden in df.columns:
-        hidden += "_"
+    hidden = free_name(df, "__text")
     source = df.select(*[F.col(f"`{c}`") for c in passed], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(hidden))
     schema = T.StructType([source.schema[c] for c in passed] + [T.StructField(n, t) for n, t, _ in fields])
     kinds = [k for _, _, k in fields]

@@ -1,6 +1,6 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased words and their beginnings of four to six letters. All terms of the examples make the vectors;
+Terms are lower-cased words and their beginnings of five letters. All terms of the examples make the vectors;
 the more surely a term sets labelled toxic examples apart from clean ones, the more it weighs, without a limit below
 which it is dropped. A block-max inverted index over the examples gives the exact nearest ones; their votes, weighted
 by similarity, are calibrated on left-out examples. A text without any term of the examples gets the share of toxic
@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -24,14 +25,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axiomflow.llm.common import ByteCache, arrow_map, materialised, prepare, resident
+from axiomflow.llm.common import arrow_map, materialised, prepare, release, resident
 
-WORDS = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6)
+LETTER = re.compile(r"[^\W\d_]")
+
+
+class _Letters(dict):
+    """For str.translate: letters stay, all else becomes a space. Holds each code point once."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if LETTER.match(chr(code)) else 32
+        return self[code]
+
+
+LETTERS = _Letters()
+STEMS = (5,)
 #: Bounds of the sample of labelled rows that the classifier learns from, by class.
-MAX_TOXIC, MAX_CLEAN = 3000, 9000
+MAX_TOXIC, MAX_CLEAN = 1000, 3000
 NEIGHBOURS, BLOCK = 16, 64
-CACHE_BYTES = 48 << 20
+#: Texts that are searched at once.
+TOGETHER = 32
 
 
 def terms_of(word: str) -> list[str]:
@@ -40,7 +53,8 @@ def terms_of(word: str) -> list[str]:
 
 class BlockMaxIndex:
     """Unit vectors in blocks of examples: postings of rare terms; for terms of more than an eighth of the examples,
-    columns of weights and the greatest weight in each block."""
+    columns of weights and the greatest weight in each block. Examples of like vectors should come one after another,
+    so that blocks differ in what they can reach."""
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
         rows = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
@@ -56,49 +70,69 @@ class BlockMaxIndex:
 
     def _build(self, n: int, n_terms: int, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
         self.n = n
-        df = np.bincount(terms, minlength=n_terms)
-        common = np.flatnonzero(df > max(n // 8, 8))
+        common = _common(n, np.bincount(terms, minlength=n_terms))
         self.column = np.full(n_terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
         dense = self.column[terms] >= 0
-        blocks = -(-n // BLOCK)
-        self.columns = np.zeros((blocks * BLOCK, len(common)), np.float32)
+        self.blocks = -(-n // BLOCK)
+        self.columns = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
         self.columns[rows[dense], self.column[terms[dense]]] = weights[dense]
-        self.best = self.columns.reshape(blocks, BLOCK, len(common)).max(axis=1)
+        self.best = self.columns.reshape(self.blocks, BLOCK, len(common)).max(axis=1)
         rows, terms, weights = rows[~dense], terms[~dense], weights[~dense]
         order = np.lexsort((rows, terms))
         self.ids, self.weights = rows[order].astype(np.int32), weights[order].astype(np.float32)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
 
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k examples of greatest dot product above 0, exactly; ties go to the lower place."""
-        return self.search(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query)), k, without)
-
-    def search(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        scores = np.zeros(self.n)
+        return self.search([(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query)))], k)[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """``nearest`` for several queries (terms, values): rare terms by their postings, then common terms block by block,
+        only where a block's greatest weights could still lift an example among the k best."""
+        if not self.n:
+            return [[] for _ in queries]
+        m, width = len(queries), self.blocks * BLOCK
+        owner = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, values = np.concatenate([t for t, _ in queries]), np.concatenate([v for _, v in queries])
         at = self.column[terms]
         rare = at < 0
-        for lo, hi, w in zip(self.starts[terms[rare]].tolist(), self.starts[terms[rare] + 1].tolist(), values[rare].tolist(), strict=True):
-            scores[self.ids[lo:hi]] += w * self.weights[lo:hi]
-        at, values = at[~rare], values[~rare]
-        if len(at) and self.n:
-            # no example can gain more from the common terms than its block's greatest weights give
-            bound = scores + np.repeat(self.best[:, at] @ values, BLOCK)[: self.n] + 1e-6
-            if without >= 0:
-                bound[without] = -1.0
-            top = np.argpartition(-bound, k)[:k] if k < self.n else np.arange(self.n)
-            least = (scores[top] + self.columns[np.ix_(top, at)] @ values).min() if k < self.n else 0.0
-            found = np.flatnonzero(bound >= least - 1e-6)
-            exact = scores[found] + self.columns[np.ix_(found, at)] @ values
-        else:
-            found, exact = np.arange(self.n), scores
-        keep = (exact > 0) & (found != without)
-        found, exact = found[keep], exact[keep]
-        if len(found) > k:
-            least = np.partition(exact, len(exact) - k)[len(exact) - k]
-            found, exact = found[exact >= least], exact[exact >= least]
-        order = np.argsort(-exact, kind="stable")[:k]
-        return list(zip(exact[order].tolist(), found[order].tolist(), strict=True))
+        lo, n = self.starts[terms[rare]], self.starts[terms[rare] + 1] - self.starts[terms[rare]]
+        ends = np.cumsum(n)
+        found = np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        place = np.repeat(owner[rare] * width, n) + self.ids[found]
+        scores = np.bincount(place, self.weights[found] * np.repeat(values[rare], n), m * width).reshape(m, width)
+        if len(values) > np.count_nonzero(rare):
+            asked = np.zeros((m, self.columns.shape[1]), np.float32)
+            asked[owner[~rare], at[~rare]] = values[~rare]
+            bound = (asked @ self.best.T) + scores.reshape(m, self.blocks, BLOCK).max(axis=2) + 1e-5
+            left = np.ones((m, self.blocks), np.bool_)
+            ahead = np.argsort(-bound, axis=1)[:, : -(-2 * k // BLOCK)]
+            todo = np.zeros((m, self.blocks), np.bool_)
+            np.put_along_axis(todo, ahead, True, axis=1)
+            exact = np.full((m, width), -1.0)
+            while todo.any():
+                for b in np.flatnonzero(todo.any(axis=0)).tolist():
+                    who, own = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                    exact[who, own] = scores[who, own] + asked[who] @ self.columns[own].T
+                left &= ~todo
+                least = np.partition(exact, width - k, axis=1)[:, width - k] if k < width else np.full(m, -1.0)
+                todo = left & (bound >= least[:, None])
+            scores = exact
+        scores = scores[:, : self.n]
+        top = np.argpartition(-scores, k, axis=1)[:, : k + 1] if k < self.n else np.tile(np.arange(self.n), (m, 1))
+        out = []
+        for row, near in zip(scores, top, strict=True):
+            least = np.sort(row[near])[-k] if k < self.n else 0.0
+            near = np.flatnonzero(row >= max(least, 1e-12)) if k < self.n and np.count_nonzero(row[near] >= least) > k else near
+            near = near[row[near] > 0]
+            near = near[np.lexsort((near, -row[near]))][:k]
+            out.append(list(zip(row[near].tolist(), near.tolist(), strict=True)))
+        return out
+
+
+def _common(n: int, df: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(df > max(n // 16, 8))
 
 
 @dataclass
@@ -121,14 +155,27 @@ class ToxicityModel:
     offset: float = 0.0
 
     def __post_init__(self):
-        rows = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        n, rows = len(self.sizes), np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         values = (1 + np.log(self.counts)) * self.scale[self.held]
         values /= np.sqrt(np.bincount(rows, values * values, len(self.sizes)))[rows]
-        self.index = BlockMaxIndex.of_arrays(len(self.sizes), len(self.terms), rows, self.held, values)
+        # in the index, examples stand by their two strongest common terms
+        strong, key = np.zeros(len(self.scale), np.bool_), np.full((2, n), -1, np.int64)
+        strong[_common(n, np.bincount(self.held, minlength=len(self.scale)))] = True
+        by = np.lexsort((self.held, -values, rows))
+        by = by[strong[self.held[by]]]
+        for k in range(2):
+            first = np.ones(len(by), np.bool_)
+            np.not_equal(rows[by][1:], rows[by][:-1], out=first[1:])
+            key[k, rows[by[first]]] = self.held[by[first]]
+            by = by[~first]
+        self.order = np.lexsort((key[1], key[0]))
+        rank = np.empty(n, np.int64)
+        rank[self.order] = np.arange(n)
+        self.index = BlockMaxIndex.of_arrays(n, len(self.terms), rank[rows], self.held, values)
 
     def packed(self) -> bytes:
         """Without the index, compressed."""
-        return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k != "index"}, protocol=5), 1)
+        return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k not in ("index", "order")}, protocol=5), 1)
 
     @classmethod
     def unpacked(cls, packed: bytes) -> ToxicityModel:
@@ -147,22 +194,30 @@ class ToxicityModel:
         x = min(max(vote, 1e-3), 1 - 1e-3)
         return float(1 / (1 + np.exp(-(self.slope * np.log(x / (1 - x)) + self.offset))))
 
-    def near(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
-        values = (1 + np.log(counts)) * self.scale[terms]
-        return self.index.search(terms, values / np.sqrt((values * values).sum()), NEIGHBOURS, without) if len(terms) else []
+    def near(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """(similarity, example) of the nearest examples of each text, given as terms and counts; ``without``: an
+        example for each text that doesn't count."""
+        queries = []
+        for terms, counts in texts:
+            values = (1 + np.log(counts)) * self.scale[terms]
+            queries.append((terms, values / np.sqrt((values * values).sum())))
+        found = self.index.search(queries, NEIGHBOURS + (without is not None)) if queries else []
+        found = [[(s, int(self.order[i])) for s, i in near] for near in found]
+        return found if without is None else [[x for x in near if x[1] != i][:NEIGHBOURS] for near, i in zip(found, without, strict=True)]
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        near = self.near(terms, counts)
-        return (self.calibrated(self.vote(near)) if near else self.empty), near
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        return [((self.calibrated(self.vote(near)) if near else self.empty), near) for near in self.near(texts)]
 
 
 def _term_lists(df: DataFrame, text_col: str) -> DataFrame:
     fields = [("terms", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("counts", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))]
 
     def make():
+        release()
+
         def compute(texts):
             for text in texts:
-                c = Counter(t for w in WORDS.findall(text.lower()) for t in terms_of(w))
+                c = Counter(t for w in text.lower().translate(LETTERS).split() for t in terms_of(w))
                 yield list(c), list(c.values())
 
         return compute
@@ -254,10 +309,12 @@ def _left_out_votes(examples: DataFrame, model: ToxicityModel, place: np.ndarray
     key = f"toxicity votes {uuid.uuid4().hex}"
 
     def run(batches):
-        m, words = resident(key, lambda: _loaded(shared.value))
+        m, hits = resident(key, lambda: _loaded(shared.value))
         for batch in batches:
-            votes = [m.vote(m.near(*_hits(words, text), order[row])) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["row", "vote"])
+            for start in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(start, TOGETHER)
+                near = m.near([hits(text) for text in part.column(1).to_pylist()], [order[row] for row in part.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.vote(x) for x in near], pa.float64())], names=["row", "vote"])
 
     texts = examples.select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = {r.row: r.vote for r in texts.mapInArrow(run, "row bigint, vote double").collect()}
@@ -265,14 +322,22 @@ def _left_out_votes(examples: DataFrame, model: ToxicityModel, place: np.ndarray
     return np.array([found[int(p)] for p in place])
 
 
-def _loaded(packed: bytes) -> tuple[ToxicityModel, ByteCache]:
+def _loaded(packed: bytes) -> tuple[ToxicityModel, Callable]:
+    """The model, and the function that finds its terms in a text, with their counts."""
     m = ToxicityModel.unpacked(packed)
-    return m, ByteCache(CACHE_BYTES, lambda w: tuple(m.terms[t] for t in terms_of(w) if t in m.terms))
+    whole = {t: i for t, i in m.terms.items() if not t.endswith("*")}
+    stems = {t[:-1]: i for t, i in m.terms.items() if t.endswith("*")}
 
+    def hits(text: str) -> tuple[np.ndarray, np.ndarray]:
+        counted = Counter(text.lower().translate(LETTERS).split())
+        times = np.fromiter(counted.values(), np.int64, len(counted))
+        found = [np.array([whole.get(w, -1) for w in counted], np.int64)]
+        found += [np.array([stems.get(w[:k], -1) if len(w) > k else -1 for w in counted], np.int64) for k in STEMS]
+        terms, place = np.unique(np.concatenate(found), return_inverse=True)
+        counts, known = np.bincount(place, np.tile(times, len(found)), len(terms)), terms >= 0
+        return terms[known], counts[known]
 
-def _hits(words: ByteCache, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The model's terms in a text and their counts."""
-    return np.unique(np.fromiter(chain.from_iterable(map(words.__getitem__, WORDS.findall(text.lower()))), np.int64), return_counts=True)
+    return m, hits
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -287,11 +352,11 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", keep: lis
     key = f"toxicity {uuid.uuid4().hex}"
 
     def make():
-        m, words = resident(key, lambda: _loaded(shared.value))
+        m, hits = resident(key, lambda: _loaded(shared.value))
 
         def compute(texts):
-            for text in texts:
-                s, near = m.score(*_hits(words, text))
+            scored = (x for at in range(0, len(texts), TOGETHER) for x in m.score([hits(text) for text in texts[at : at + TOGETHER]]))
+            for s, near in scored:
                 found = [{"id": str(m.ids[i]), "similarity": x, "label": int(m.labels[i])} for x, i in near]
                 yield s, int(s >= 0.5), found, found if s >= 0.5 else []
 
