@@ -13,14 +13,17 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axiomflow.llm.common import materialised, prepare
+from axiomflow.llm.common import free_name, materialised, prepare, release
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -40,19 +43,31 @@ CONSTANT_CHARS = 120
 #: A text that is the same on this many pages of a host, or more, belongs to the wrapper; copies of a page count once.
 CONSTANT_PAGES = 5
 PART_HOSTS, PARTS = 500, 64
+#: Elements below this depth hang side by side at it, as in browsers; none of their text is lost.
+DEPTH = 200
+#: Elements that hold an article's own blocks; names of classes say nothing about them.
+BLOCKS = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody figcaption".split()) | INLINE
 
 
 def parse(page: str) -> list:
     """The page as [key, children, dropped]; children are such lists and texts."""
     root = ["", [], False]
-    stack, names = [root], [""]
+    stack, names, opened = [root], [""], Counter()
     at, n = 0, len(page)
 
+    def cut(i: int) -> None:
+        for name in names[i:]:
+            opened[name] -= 1
+        if len(stack) > DEPTH and any(name not in INLINE for name in names[max(i, DEPTH) :]):
+            stack[DEPTH - 1][1].append(["br", [], False])
+        del stack[i:], names[i:]
+
     def shut(kinds, stop) -> None:
+        if not any(opened[k] for k in kinds):
+            return
         for i in range(len(names) - 1, 0, -1):
             if names[i] in kinds:
-                del stack[i:], names[i:]
-                return
+                return cut(i)
             if names[i] in stop:
                 return
 
@@ -62,13 +77,18 @@ def parse(page: str) -> list:
         name = m[2] or m[5]
         if not name:
             if page[m.start()] != "<" or m.end() == m.start() + 1:
-                stack[-1][1].append(html.unescape(m[0]))
+                if len(stack) <= DEPTH:
+                    stack[-1][1].append(html.unescape(m[0]))
+                elif not stack[-1][2]:
+                    stack[DEPTH - 1][1].append(html.unescape(m[0]))
             continue
         name = name.lower()
         if m[1] or m[4]:
-            if name in names:
-                i = len(names) - 1 - names[::-1].index(name)
-                del stack[i:], names[i:]
+            if opened[name]:
+                i = len(names) - 1
+                while names[i] != name:
+                    i -= 1
+                cut(i)
             continue
         if name in CLOSES:
             shut(CLOSES[name], BARRIERS - CLOSES[name])
@@ -77,18 +97,24 @@ def parse(page: str) -> list:
         given = m[3] or m[6] or ""
         own = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(given)} if "=" in given else {}
         mark = f"{own.get('class', '')} {own.get('id', '')}".strip()
-        dropped = name in DROPPED or bool(mark and NOT_CONTENT.search(mark)) or own.get("role", "") in ROLES or "hidden" in own or own.get("aria-hidden") == "true"
+        dropped = name in DROPPED or bool(mark and name not in BLOCKS and NOT_CONTENT.search(mark)) or own.get("role", "") in ROLES or "hidden" in own or own.get("aria-hidden") == "true"
         if name in ("html", "body", "main", "article"):
             dropped = False
-        key = name + "." + re.sub(r"\d+", "", own.get("class") or own.get("id") or "")[:60] if mark else name
+        key = name + "." + re.sub(r"\d+", "", own.get("class") or own.get("id") or "") if mark else name
         node = [key, [], dropped]
-        stack[-1][1].append(node)
+        if len(stack) < DEPTH:
+            stack[-1][1].append(node)
+        else:  # its texts go to the element at DEPTH, in page order; only what is dropped is handed down
+            node[2] = dropped or len(stack) > DEPTH and stack[-1][2]
+            if name not in INLINE:
+                stack[DEPTH - 1][1].append(["br", [], False])
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
             at = n if end is None else page.find(">", end.start()) + 1 or n
         elif name not in VOID:
             stack.append(node)
             names.append(name)
+            opened[name] += 1
     return root
 
 
@@ -252,10 +278,15 @@ def infer_wrappers(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
     pages = df.select(_host(url_col).alias("host"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
 
     def parts(batches):
+        release()
         found: dict[str, list] = {}
+        made = TaskContext.get().partitionId() << 32
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([json.dumps(w) for w in found.values()])], names=["host", "wrapper"])
+            nonlocal made
+            numbers = range(made, made + len(found))
+            out = pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([json.dumps(w) for w in found.values()]), pa.array(numbers, pa.int64())], names=["host", "wrapper", "part"])
+            made += len(found)
             found.clear()
             return out
 
@@ -269,18 +300,19 @@ def infer_wrappers(df: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
     def together(group: pa.Table) -> pa.Table:
         rows = sorted(group.column("wrapper").to_pylist())
+        part = pc.min(group.column("part"))
         whole = json.loads(rows[0])
         for row in rows[1:]:
             whole = combine(whole, json.loads(row))
-        return pa.table({"host": group.column("host")[:1], "wrapper": pa.array([json.dumps(whole)])})
+        return pa.table({"host": group.column("host")[:1], "wrapper": pa.array([json.dumps(whole)]), "part": pa.array([part.as_py()], pa.int64())})
 
-    now = materialised(pages.mapInArrow(parts, "host string, wrapper string"), "wrappers")
+    now = materialised(pages.mapInArrow(parts, "host string, wrapper string, part bigint"), "wrappers")
     while True:
         most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
             return now
-        salt = F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // PARTS)))
-        now = materialised(now.withColumn("salt", salt).groupBy("host", "salt").applyInArrow(together, "host string, wrapper string"), "wrappers")
+        salt = F.pmod(F.xxhash64("part"), F.lit(-(-most // PARTS)))
+        now = materialised(now.withColumn("salt", salt).groupBy("host", "salt").applyInArrow(together, "host string, wrapper string, part bigint"), "wrappers")
 
 
 def _host(url_col: str) -> Column:
@@ -288,15 +320,18 @@ def _host(url_col: str) -> Column:
 
 
 def extract_main_text(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Adds ``main_text`` (empty if there is none). All rows stay, repeated ones too; a null page has no text; pages
-    with a null or odd url share one nameless host. A column of the added name is replaced."""
+    """Adds ``main_text`` (empty if there is none). All rows stay, repeated ones too; a null or empty page has no text; pages
+    with a null or odd url share one nameless host. Pages of any length and depth are taken whole; below DEPTH elements
+    are flattened, their text stays. An empty table gives no rows. A column of the added name is replaced, others may have any names."""
     prepare(df.sparkSession)
-    wrappers = infer_wrappers(df, url_col, html_col).select(F.col("host").alias("__hx_host"), F.col("wrapper").alias("__hx_wrapper"))
+    own, host, wrapper = (free_name(df, f"__hx_{c}") for c in ("own", "host", "wrapper"))
+    wrappers = infer_wrappers(df, url_col, html_col).select(F.col("host").alias(host), F.col("wrapper").alias(wrapper))
     passed = [c for c in df.columns if c != "main_text"]
-    met = df.select(*[F.col(f"`{c}`") for c in passed], _host(url_col).alias("__hx_own")).join(wrappers, F.col("__hx_own") == F.col("__hx_host"), "left").drop("__hx_own", "__hx_host")
+    met = df.select(*[F.col(f"`{c}`") for c in passed], _host(url_col).alias(own)).join(wrappers, F.col(own) == F.col(host), "left").drop(own, host)
     schema = T.StructType([*(met.schema[c] for c in passed), T.StructField("main_text", T.StringType())])
 
     def run(batches):
+        release()
         plans: dict[str, tuple] = {}
         for batch in batches:
             n = batch.num_columns

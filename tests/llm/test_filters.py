@@ -216,3 +216,23 @@ def test_a_long_text_has_the_vector_of_its_own_example(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, toxic int"))
     best = {r.doc_id: max(x.similarity for x in r.neighbours if x.id == str(r.doc_id)) for r in toxicity.score(docs, model).collect()}
     assert all(abs(s - 1) < 1e-6 for s in best.values()) and max(model.counts) == 400
+
+
+def test_deep_long_and_odd_pages(spark):
+    deep = "<article>" + "<div>" * 3000 + "one<b>two</b><p>three<script>no</script><button>no</button> four</p>five" + "</div>" * 2999 + "six</div><p>seven</p></article>"
+    notice = '<body><article><h1>T{0}</h1><p class="notice">A legal notice {0} of the city was read.</p><p>And more {0}.</p></article></body>'
+    unclosed = "<p>a" + "<b>" * 20000 + "b" + "</i></b>" * 20000
+    long = "<article><p>" + "word " * 200_000 + "</p></article>"
+    got = extracted(spark, [("d", deep), ("u", unclosed), ("l", long), *(("n", notice.format(i)) for i in range(7)), ("e", "")])
+    assert got[:2] == ["onetwo three four five six seven", "ab"] and got[2] == ("word " * 200_000).strip() and got[-1] == ""
+    assert got[3:10] == [f"T{i} A legal notice {i} of the city was read. And more {i}." for i in range(7)]
+    none = spark.createDataFrame([], "page_id bigint, url string, html string, __hx_own string")
+    assert html_extract.extract_main_text(none).count() == 0
+
+
+def test_the_wrapper_tells_the_parts(spark):
+    body = '<body><div class="x">Our city news since 1901.</div><div class="y"><h1>Title {0}</h1><p>Text {0} of the day.</p></div><div class="z">Written by us.</div></body>'
+    got = extracted(spark, [("w", body.format(i)) for i in range(9)])
+    assert got == [f"Title {i} Text {i} of the day." for i in range(9)]
+    alone = html_extract.main_text(body.format(1), [], set())  # without a wrapper
+    assert alone == "Our city news since 1901. Title 1 Text 1 of the day. Written by us."
