@@ -7,6 +7,8 @@ format, script and gender. Surrogates that meet each other or a real entity are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,6 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])(?:[a-f0-9]{32,64}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]{10,}+){2})(?![A-Za-z0-9])",
     "name": rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? {PART}(?:[ -]{PART}){{0,2}}(?!\p{{L}})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DIGITS = ("phone", "card", "ssn")
 GIVEN = {
     "female": ["Anna", "Clara", "Elena", "Ida", "Julia", "Laura", "Maria", "Nora", "Olga", "Petra", "Rosa", "Sara", "Sofia", "Tessa", "Vera", "Zoe"],
@@ -178,12 +179,28 @@ def _people(titled: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(titled, lambda e: e.rlike(r"^\S+ .*[ -]")), person))
 
 
-def _pattern(titled: Column) -> Column:
-    """ANY, and for a text with titled persons also their names and last parts without a title."""
+def _needs(text: Column) -> dict[str, Column]:
+    """By kind, cheap conditions that each match must meet; "digits" for the kinds that aren't named."""
+    holds = lambda *parts: reduce(Column.__or__, map(text.contains, parts))
+    return {
+        "digits": text.rlike(r"\d[ .)/-]{0,2}\d"),
+        "email": text.contains("@"),
+        "ipv6": text.rlike(":[0-9a-fA-F]{0,4}:"),
+        "secret": holds("AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "eyJ") | text.rlike("[a-f0-9]{32}"),
+        "name": holds(*f"{FEMALE}|{MALE}".split("|")),
+    }
+
+
+def _pattern(text: Column, titled: Column) -> Column:
+    """The patterns that can match at all, by cheap conditions that each match must meet; for a text with titled persons also
+    their names and last parts without a title. Empty if nothing can match."""
     said = F.flatten(F.transform(F.filter(titled, lambda e: e.rlike(r"^\S+ .*[ -]")), lambda e: F.array(F.regexp_extract(e, r"^\S+ (.*)$", 1), F.regexp_extract(e, r"([^ -]+)$", 1))))
     # longer ones first; names hold letters, spaces, hyphens and apostrophes only
     names = F.array_sort(F.array_distinct(said), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.when(F.size(names) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}'’])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}])"))).otherwise(F.lit(ANY))
+    needs = _needs(text)
+    known = [F.when(needs.get(kind, needs["digits"]), F.lit(f"(?:{pattern})")) for kind, pattern in PATTERNS.items()]
+    mentions = F.when(F.size(names) > 0, F.concat(F.lit(r"(?<![\p{L}'’])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}])")))
+    return F.concat_ws("|", *known, mentions)
 
 
 def _form(kind: Column, entity: Column, people: Column) -> Column:
@@ -207,19 +224,22 @@ def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prepare(df.sparkSession)
     added = ["private_text", "n_entities"]
     passed = [c for c in df.columns if c not in added]
-    doc_id, doc_hash, list_id, list_hash, list_r, names = (free_name(df, f"__pii_{c}") for c in ("id", "hash", "id2", "hash2", "r", "titled"))
+    doc_id, doc_hash, list_id, list_hash, list_r, names = (free_name(df, f"__pii_{c}") for c in ("id", "hash", "id2", "hash2", "r", "text"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    title = text.rlike(rf"(?:{FEMALE}|{MALE})")
-    titled = F.when(title, F.regexp_extract_all(text, F.lit(PATTERNS["name"]), 0)).otherwise(F.array().cast("array<string>"))
+    titled = F.when(_needs(text)["name"], F.regexp_extract_all(text, F.lit(PATTERNS["name"]), 0)).otherwise(F.array().cast("array<string>"))
     doc, body = F.col(f"`{id_col}`").alias(doc_id), F.xxhash64(text).alias(doc_hash)
-    given = df.select(doc, body, text.alias("text"), titled.alias("titled"))
-    found = given.select(doc_id, doc_hash, "titled", F.regexp_extract_all("text", _pattern(F.col("titled")), 0).alias("e")).filter(F.size("e") > 0)
+    given = df.filter(reduce(Column.__or__, _needs(text).values())).select(doc, body, text.alias("text"), titled.alias("titled"))
+    given = given.withColumn("pattern", _pattern(F.col("text"), F.col("titled")))
+    entities = F.when(F.col("pattern") != "", F.regexp_extract_all("text", F.col("pattern"), 0))
+    found = given.select(doc_id, doc_hash, "titled", entities.alias("e"))
     each = found.select(doc_id, doc_hash, _people(F.col("titled")).alias("people"), F.posexplode("e").alias("at", "entity")).withColumn("kind", kind_of(F.col("entity")))
     each = materialised(each.withColumn("form", _form(F.col("kind"), F.col("entity"), F.col("people"))).drop("people"), "entities")
     new = assign(each.select("kind", "form").distinct(), key)
     placed = each.join(new, ["kind", "form"]).select(doc_id, doc_hash, "at", rendered(F.col("kind"), F.col("entity"), F.col("replacement")).alias("r"))
     lists = placed.groupBy(F.col(doc_id).alias(list_id), F.col(doc_hash).alias(list_hash)).agg(F.sort_array(F.collect_set(F.struct("at", "r"))).alias(list_r))
-    work = df.select(*[F.col(f"`{c}`") for c in passed], doc, body, titled.alias(names))
+    work = df.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{text_col}`").cast("string").alias(names), doc, body)
+    text = F.coalesce(F.col(names), F.lit(""))
+    titled = F.when(_needs(text)["name"], F.regexp_extract_all(text, F.lit(PATTERNS["name"]), 0)).otherwise(F.array().cast("array<string>"))
     joined = work.join(lists, work[doc_id].eqNullSafe(lists[list_id]) & (work[doc_hash] == lists[list_hash]), "left")
-    filled = F.array_join(F.transform(F.split(text, _pattern(F.col(names)), -1), lambda p, i: F.concat(p, F.coalesce(F.get(list_r, i)["r"], F.lit("")))), "")
+    filled = F.array_join(F.transform(F.split(text, _pattern(text, titled), -1), lambda p, i: F.concat(p, F.coalesce(F.get(list_r, i)["r"], F.lit("")))), "")
     return joined.select(*[F.col(f"`{c}`") for c in passed], F.when(F.col(list_r).isNull(), text).otherwise(filled).alias("private_text"), F.coalesce(F.size(list_r), F.lit(0)).cast("bigint").alias("n_entities"))
