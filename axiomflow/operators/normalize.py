@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from axiomflow.operators import rules
 from axiomflow.plans.saturate import role_closure
 from axiomflow.schema import BOTTOM, TOP, Axioms
+from axiomflow.storage import fresh_path
 from axiomflow.sources.owl import OWL_NOTHING, OWL_THING, parse_axiom, written
 
 FRESH_CLASS, FRESH_ROLE = "urn:fresh:class:", "urn:fresh:role:"
@@ -43,11 +44,12 @@ def expression(tree) -> Expression:
     if op in ("ObjectSomeValuesFrom", "DataSomeValuesFrom"):
         return ("some", _role(args[0]), expression(args[1]))
     if op == "ObjectHasValue":
-        return ("some", _role(args[0]), ("name", args[1]))
+        return ("some", _role(args[0]), ("name", _name(args[1])))
     if op == "DataHasValue":  # of the literal only its datatype is kept
-        return ("some", _role(args[0]), ("name", _datatype(args[1])))
+        return ("some", _role(args[0]), ("name", _datatype(_name(args[1]))))
     if op == "ObjectOneOf":
-        return ("name", args[0]) if len(args) == 1 else ("each", *args)
+        each = tuple(map(_name, args))
+        return ("name", each[0]) if len(each) == 1 else ("each", *each)
     raise Unsupported(op)
 
 
@@ -57,7 +59,15 @@ def _role(tree) -> str:
     return tree
 
 
+def _name(tree) -> str:
+    """An individual or a literal, where no expression may stand."""
+    if isinstance(tree, list):
+        raise Unsupported(f"{tree[0]} where a name is due")
+    return tree
+
+
 def _datatype(literal: str) -> str:
+    """The datatype's IRI of a literal; "plain" ones are strings."""
     kind = literal.rpartition('"')[2]
     return kind[2:].strip("<>") if kind.startswith("^^") else "http://www.w3.org/2001/XMLSchema#string"
 
@@ -69,9 +79,9 @@ def fresh_class(e: Expression) -> str:
 def _individuals(tree, op: str = "") -> Iterator[str]:
     if isinstance(tree, list):
         if tree[0] == "ObjectOneOf":
-            yield from tree[1:]
+            yield from map(_name, tree[1:])
         elif tree[0] == "ObjectHasValue":
-            yield tree[2]
+            yield _name(tree[2])
         for t in tree[1:]:
             yield from _individuals(t)
 
@@ -92,14 +102,14 @@ def normal_rows(tree) -> list[tuple]:
         members = list(map(expression, args))
         todo += [(expression_and(x, y), ("name", BOTTOM)) for i, x in enumerate(members) for y in members[i + 1 :]]
     elif op == "ClassAssertion":
-        out.append(("individual", args[1], None, None, None))
+        out.append(("individual", _name(args[1]), None, None, None))
         todo.append((("name", args[1]), expression(args[0])))
     elif op == "ObjectPropertyAssertion":
-        out += [("individual", args[1], None, None, None), ("individual", args[2], None, None, None)]
+        out += [("individual", _name(args[1]), None, None, None), ("individual", _name(args[2]), None, None, None)]
         todo.append((("name", args[1]), ("some", _role(args[0]), ("name", args[2]))))
     elif op == "DataPropertyAssertion":
-        out.append(("individual", args[1], None, None, None))
-        todo.append((("name", args[1]), ("some", _role(args[0]), ("name", _datatype(args[2])))))
+        out.append(("individual", _name(args[1]), None, None, None))
+        todo.append((("name", args[1]), ("some", _role(args[0]), ("name", _datatype(_name(args[2]))))))
     elif op in ("SubObjectPropertyOf", "SubDataPropertyOf"):
         if isinstance(args[0], list) and args[0][0] == "ObjectPropertyChain":
             out += _chain([_role(r) for r in args[0][1:]], _role(args[1]))
@@ -121,9 +131,9 @@ def normal_rows(tree) -> list[tuple]:
             out.append(("dom", None, _role(args[0]), name, None))
     elif op == "Declaration":
         if args and isinstance(args[0], list) and args[0][0] == "NamedIndividual":
-            out.append(("individual", args[0][1], None, None, None))
+            out.append(("individual", _name(args[0][1]), None, None, None))
         elif args and isinstance(args[0], list) and args[0][0] == "Class":
-            name = expression(args[0][1])[1]
+            name = expression(_name(args[0][1]))[1]
             out.append(("sub", name, None, name, None))
     else:
         raise Unsupported(op)
@@ -225,6 +235,8 @@ def normal_form(axioms: DataFrame, axiom_col: str = "axiom") -> DataFrame:
             for text in batch.column(0).to_pylist():
                 try:
                     rows += [(*r, None, None) for r in normal_rows(parse_axiom(text))]
+                except RecursionError:
+                    rows.append(("rejected", None, None, None, None, text, "nested too deeply"))
                 except (Unsupported, ValueError, IndexError, KeyError) as e:
                     rows.append(("rejected", None, None, None, None, text, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
@@ -269,7 +281,15 @@ def eliminate_ranges(ax: Axioms) -> Axioms:
 
 def normalise(axioms: DataFrame, ranges: bool = True) -> tuple[Axioms, DataFrame]:
     """Normal-form tables of axiom rows, and the rejected ones (axiom, kind, reason)."""
-    rows = normal_form(axioms)
+    # written once: nine tables are read from it, each from its own folder of a kind
+    path = fresh_path(axioms.sparkSession, "normal-form")
+    normal_form(axioms).write.partitionBy("kind").parquet(path)
+    rows = axioms.sparkSession.read.schema(ROW).parquet(path)
     tables = tables_of(rows)
     return (eliminate_ranges(tables) if ranges else tables), rejected(rows)
 
+
+
+def rejected_totals(rows: DataFrame) -> DataFrame:
+    """(kind, n): how many axioms were rejected."""
+    return rows.agg(F.lit("rejected").alias("kind"), F.count(F.lit(1)).alias("n"))

@@ -86,3 +86,9 @@ def side_by_side(s: DataFrame, wanted: DataFrame) -> DataFrame:
 def role_values(r: DataFrame, role) -> DataFrame:
     """(x, y) of one role."""
     return r.filter(F.col("r") == F.lit(role)).select("x", "y")
+
+
+def compare_instances(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(b, n_found, n_wanted, n_missing, n_extra) of classes whose sets of instances x differ between two relations (x, b)."""
+    turned = lambda df: df.select(F.col("b").alias("x"), F.col("x").alias("b"))
+    return compare(turned(found), turned(wanted)).withColumnRenamed("x", "b")

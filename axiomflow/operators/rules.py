@@ -81,10 +81,12 @@ def role_super(r: DataFrame, role_closure: DataFrame) -> DataFrame:
 def chain(dr: DataFrame, r: DataFrame, ax_chain: DataFrame) -> DataFrame:
     """r(x, y), s(y, z), r o s below t: t(x, z). The whole row (r, s, t) is matched."""
     ax = ax_chain.select(F.col("r").alias("c1"), F.col("s").alias("c2"), F.col("t").alias("c3"))
+    seconds = ax.select("c2").distinct()
 
     def legs(first: DataFrame, second: DataFrame) -> DataFrame:
         one = first.join(ax, first["r"] == ax["c1"]).select("x", F.col("y").alias("m"), "c2", "c3")
         two = second.select(F.col("r").alias("c2"), F.col("x").alias("m"), F.col("y").alias("z"))
+        two = two.join(seconds, "c2", "left_semi")  # only roles that some chain ends with are moved
         return one.join(two, ["m", "c2"]).select(F.col("c3").alias("r"), "x", F.col("z").alias("y"))
 
     return union([legs(dr, r), legs(r, dr)])

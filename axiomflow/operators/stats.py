@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from axiomflow.schema import Axioms
+from axiomflow.schema import CLASS, INDIVIDUAL, ROLE, Axioms
 
 
 def axiom_counts(ax: Axioms, distinct: bool = True) -> DataFrame:
@@ -125,3 +125,20 @@ def classify_times(lines: DataFrame, value: str = "value", order: str = "n") ->
     v = F.col(value)
     time = F.regexp_extract(v, r"^real\s+(\d+)m", 1).try_cast("double") * 60 + F.regexp_extract(v, r"^real\s+\d+m([\d.]+)s", 1).try_cast("double")
     return lines.filter(v.rlike(r"^real\s+\d+m[\d.]+s")).select(order, time.alias("seconds"))
+
+
+def signature_rollup(entities: DataFrame) -> DataFrame:
+    """(file, classes, individuals, roles) of (file, iri, kind): distinct names in each file, and in all files together
+    (null file), where a name that several files share counts once."""
+    once = entities.select("file", "iri", "kind").distinct()
+    whole = once.select(F.lit(None).cast("string").alias("file"), "iri", "kind").distinct()
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    return once.unionByName(whole).groupBy("file").agg(count(CLASS).alias("classes"), count(INDIVIDUAL).alias("individuals"), count(ROLE).alias("roles"))
+
+
+def load_metrics(axioms: Axioms) -> DataFrame:
+    """(axioms, concepts, individuals, roles) of normal-form tables, as a load reports them."""
+    kinds = axioms.signature().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    rows = axiom_counts(axioms).select(F.lit(-1).cast("tinyint").alias("kind"), "n").unionByName(kinds)
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    return rows.agg(total(-1).alias("axioms"), total(CLASS).alias("concepts"), total(INDIVIDUAL).alias("individuals"), total(ROLE).alias("roles"))

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from axiomflow.operators import rules
 from axiomflow.schema import BOTTOM, TOP, Axioms, frame
-from axiomflow.storage import BROADCAST_ROWS, fresh_path, is_local, materialised, small, write_counted
+from axiomflow.storage import fresh_path, is_local, materialised, small, write_counted
 
 
-#: Role inclusions are few in most ontologies; up to this many are followed without a job.
-DRIVER_ROLES = 5_000
+#: Role inclusions are few in most ontologies; up to this many, whose closure has at most their square of rows, are
+#: followed without a job.
+DRIVER_ROLES = 300
 
 
 def role_closure(ax_role: DataFrame) -> DataFrame:
@@ -133,12 +134,12 @@ def _ready(ax: Axioms, nothing) -> _Ready:
     tables: dict[str, DataFrame | None] = {}
     for kind, df in ax.tables().items():
         if is_local(df):
-            stored, n = df, len(df.take(BROADCAST_ROWS + 1))
+            stored, n = df, len(df.take(1))
         else:
             path = fresh_path(df.sparkSession, f"ax-{kind}")
             n = write_counted(df, path)
             stored = df.sparkSession.read.schema(df.schema).parquet(path)
-        tables[kind] = F.broadcast(stored) if 0 < n <= BROADCAST_ROWS else stored if n else None
+        tables[kind] = small(stored) if n else None
     roles = role_closure(tables["role"]) if tables["role"] is not None else None
     heads = [t.select("b") for k in ("sub", "conj", "exl") if (t := tables[k]) is not None]
     used = bool(heads) and not rules.union(heads).filter(F.col("b") == F.lit(nothing)).isEmpty()
@@ -157,7 +158,8 @@ def candidates(ds: DataFrame | None, dr: DataFrame | None, s: DataFrame, r: Data
         if t["ex"] is not None:
             to_r.append(rules.ex_right(ds, t["ex"]))
         if t["exl"] is not None:
-            to_s.append(rules.ex_left(rules.ex_left_part(ds, t["exl"]), r))
+            used = r.join(t["exl"].select("r").distinct(), "r", "left_semi")
+            to_s.append(rules.ex_left(rules.ex_left_part(ds, t["exl"]), used))
         if bottom:
             dead = ds.filter(F.col("b") == F.lit(ready.nothing)).select(F.col("x").alias("y")).distinct()
             to_s.append(r.select("x", "y").join(dead, "y", "left_semi").select("x", F.lit(ready.nothing).alias("b")))

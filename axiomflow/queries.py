@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from axiomflow.functions import ids
 from axiomflow.operators import dictionary, generate, normalize, profile, results, rules, setops, stats, translate
-from axiomflow.plans import placement, star
+from axiomflow.plans import normaliser, placement, star
 from axiomflow.plans.saturate import extend, facts, role_closure, saturate, subclass_closure
 from axiomflow.schema import BOTTOM, Axioms, frame
 from axiomflow.sources import owl, sinks
+from axiomflow.storage import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -551,6 +552,48 @@ def q_owl_parse(spark, sf_dir):
     return owl.parse_documents(docs.select(F.col("r").alias("file"), text.alias("text"))).select("kind", "axiom").distinct()
 
 
+@query("SELECT 'sub' AS kind, count(*) AS n FROM nation UNION ALL SELECT 'ex', count(*) FROM nation UNION ALL SELECT 'rejected', 2 * count(*) FROM nation UNION ALL SELECT 'unread', 1")
+def q_normaliser_job(spark, sf_dir):
+    """A folder of documents, one of them broken, through the normaliser job; odd axioms are rejected, not fatal."""
+    n = star.read(spark, sf_dir, "nation", "n_nationkey", "n_regionkey").select(F.col("n_nationkey").cast("string").alias("n"), F.col("n_regionkey").cast("string").alias("r"))
+    body = F.format_string("SubClassOf(<n:%s> ObjectIntersectionOf(<g:%s> ObjectSomeValuesFrom(<in> <g:%s>))) ClassAssertion(<A> ObjectOneOf(<i:%s>)) SubClassOf(<A> ObjectUnionOf(<B> <n:%s>))", "n", "r", "r", "n", "n")
+    folder = fresh_path(spark, "documents")
+    n.select(body.alias("value")).write.option("lineSep", " ").text(folder)
+    rows(spark, "value string", ("SubClassOf(<A>",)).write.mode("append").text(folder)
+    return normaliser.normaliser_job(spark, folder, fresh_path(spark, "normalised"))
+
+
+@query("SELECT 'segment:' || c_mktsegment AS b, count(*) AS n_found, count(*) FILTER (c_nationkey <> 1) AS n_wanted, CAST(0 AS BIGINT) AS n_missing, count(*) FILTER (c_nationkey = 1) AS n_extra FROM customer GROUP BY c_mktsegment HAVING count(*) FILTER (c_nationkey = 1) > 0")
+def q_compare_instances(spark, sf_dir):
+    c = star.read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment").select(star.iri("customer", "c_custkey").alias("x"), star.iri("segment", "c_mktsegment").alias("b"), "c_nationkey")
+    return results.compare_instances(c.select("x", "b"), c.filter("c_nationkey <> 1").select("x", "b"))
+
+
+@query("""SELECT o_orderstatus AS file, count(DISTINCT o_orderpriority) AS classes, count(DISTINCT o_custkey) AS individuals, CAST(0 AS BIGINT) AS roles FROM orders GROUP BY 1
+UNION ALL SELECT NULL, count(DISTINCT o_orderpriority), count(DISTINCT o_custkey), 0 FROM orders""")
+def q_signature_rollup(spark, sf_dir):
+    o = star.read(spark, sf_dir, "orders", "o_orderstatus", "o_orderpriority", "o_custkey")
+    classes = o.select(F.col("o_orderstatus").alias("file"), star.iri("priority", "o_orderpriority").alias("iri"), F.lit(0).alias("kind"))
+    return stats.signature_rollup(classes.unionByName(o.select(F.col("o_orderstatus").alias("file"), star.iri("customer", "o_custkey").alias("iri"), F.lit(1).alias("kind"))))
+
+
+@query("SELECT count(*) AS axioms, count(DISTINCT n_regionkey) + count(*) AS concepts, CAST(1 AS BIGINT) AS individuals, CAST(1 AS BIGINT) AS roles FROM nation")
+def q_load_metrics(spark, sf_dir):
+    ex = star.existentials(spark, sf_dir).filter("r = 'inRegion'")
+    return stats.load_metrics(Axioms.of(spark, ex=ex, individuals=rows(spark, "x string", ("someone",))))
+
+
+@query("SELECT 's' AS key, 'customer:' || c_custkey AS member, CASE WHEN c_nationkey <> 3 THEN CAST(c_nationkey AS DOUBLE) END AS score FROM customer")
+def q_score_lookup(spark, sf_dir):
+    """Scores of members after some were removed from a keyed store."""
+    c = star.read(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select(F.lit("s").alias("key"), star.iri("customer", "c_custkey").alias("member"), F.col("c_nationkey").cast("double").alias("score"))
+    store = sinks.KeyedStore(spark, fresh_path(spark, "store"))
+    store.append(c.unionByName(c.withColumn("key", F.lit("gone"))))
+    store.remove(c.filter("score = 3"))
+    store.delete_keys("^gone$")
+    return store.scores(c)
+
+
 @query(f"WITH {EX} SELECT 'SubClassOf(<' || a || '> ObjectSomeValuesFrom(<' || r || '> <' || b || '>))' AS value FROM ex WHERE r IN ('inNation', 'inRegion')")
 def q_owl_write(spark, sf_dir):
     return owl.normal_form_lines("ex", star.existentials(spark, sf_dir).filter(F.col("r").isin("inNation", "inRegion")))

@@ -64,22 +64,49 @@ def trees(text: str) -> list:
 
 
 def expanded(tree, prefixes: dict[str, str]):
-    """The tree with full IRIs without angle brackets; literals stay as written."""
-    if isinstance(tree, list):
-        return [tree[0], *(expanded(t, prefixes) for t in tree[1:])]
-    if tree.startswith("<"):
-        return tree[1:-1]
-    if tree.startswith('"'):
-        return tree
-    head, colon, tail = tree.partition(":")
-    return prefixes[head + ":"] + tail if colon and head + ":" in prefixes else tree
+    """The tree with full IRIs without angle brackets; literals stay as written. Any depth: no recursion."""
+
+    def leaf(t: str) -> str:
+        if t.startswith("<"):
+            return t[1:-1]
+        if t.startswith('"'):
+            return t
+        head, colon, tail = t.partition(":")
+        return prefixes[head + ":"] + tail if colon and head + ":" in prefixes else t
+
+    if not isinstance(tree, list):
+        return leaf(tree)
+    out: list = [tree[0]]
+    todo = [(tree, out)]
+    while todo:
+        given, made = todo.pop()
+        for t in given[1:]:
+            if isinstance(t, list):
+                made.append([t[0]])
+                todo.append((t, made[-1]))
+            else:
+                made.append(leaf(t))
+    return out
 
 
 def written(tree) -> str:
-    """Functional syntax of an expanded tree."""
-    if isinstance(tree, list):
-        return f"{tree[0]}({' '.join(map(written, tree[1:]))})"
-    return tree if tree.startswith('"') or tree.isdigit() else f"<{tree}>"
+    """Functional syntax of an expanded tree. Any depth: no recursion."""
+    out: list[str] = []
+    todo: list = [tree]
+    while todo:
+        t = todo.pop()
+        if isinstance(t, tuple):
+            out.append(t[0])
+        elif isinstance(t, list):
+            out.append(f"{t[0]}(")
+            todo.append((")",))
+            for i in range(len(t) - 1, 0, -1):
+                todo.append(t[i])
+                if i > 1:
+                    todo.append((" ",))
+        else:
+            out.append(t if t.startswith('"') or t.isdigit() else f"<{t}>")
+    return "".join(out)
 
 
 def parse_axiom(text: str):

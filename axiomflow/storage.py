@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table counts as small enough to be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a table counts as small enough to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +52,51 @@ def is_local(df: DataFrame) -> bool:
     return df._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for a shuffled join."""
-    n = len(df.take(rows + 1)) if is_local(df) else df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    return reduce(Column.__add__, texts, F.lit(16 * len(df.columns))).cast("bigint")
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the counted rows and bytes of ``df`` are within the bounds; counting ends beyond them."""
+    if is_local(df):
+        rows = df.take(BROADCAST_ROWS + 1)
+        return len(rows) <= BROADCAST_ROWS and sum(16 * len(r) + sum(len(v) for v in r if isinstance(v, str)) for r in rows) <= BROADCAST_BYTES
+    seen = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return seen.n <= BROADCAST_ROWS and (seen.bytes or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its counted size is within the bounds; else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    place, fs = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, fs = _folder(spark, path)
+    fs.delete(place, True)
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file, there as a whole or not at all: written under a hidden name and renamed."""
+    place, fs = _folder(spark, path)
+    hidden = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(hidden, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(hidden, place)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]

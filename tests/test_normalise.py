@@ -108,3 +108,19 @@ def test_settings_and_sinks(spark, tmp_path):
     assert sinks.read_snapshots(spark, str(tmp_path / "snap")).count() == 1
     sinks.write_side_by_side(pairs, pairs.limit(0), str(tmp_path / "l"), str(tmp_path / "r"))
     assert [r.value for r in spark.read.text(str(tmp_path / "l")).collect()] == ["a: b"]
+
+
+def test_odd_axioms_are_rejected(spark):
+    deep = "SubClassOf(<A> " + "ObjectSomeValuesFrom(<r> " * 900 + "<B>" + ")" * 900 + ")"
+    odd = ["ClassAssertion(<A> ObjectOneOf(<i>))", "Declaration(NamedIndividual(ObjectOneOf(<i>)))", "SubClassOf(<A> DataHasValue(<p> ObjectOneOf(<i>)))", "SubClassOf(<A> ObjectHasValue(<p> ObjectOneOf(<i>)))", "SubClassOf(<A>", "SubClassOf()", deep]
+    rows = spark.createDataFrame([(a,) for a in [*odd, "SubClassOf(<A> <B>)"]], "axiom string")
+    tables, rejected = normalize.normalise(rows)
+    assert [tuple(r) for r in tables.sub.collect()] == [("A", "B")] and {r.axiom for r in rejected.collect()} >= set(odd[:6])
+    parsed = owl.parse_documents(spark.createDataFrame([("f", deep + " SubClassOf(<A> <B>)")], "file string, text string")).collect()
+    assert [r.axiom for r in parsed] == [deep, "SubClassOf(<A> <B>)"]
+
+
+def test_progress(spark):
+    from axiomflow.plans.progress import progress
+
+    assert progress(spark).columns == ["job", "stage", "tasks", "done", "failed", "fraction"]

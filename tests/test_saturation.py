@@ -111,6 +111,23 @@ def test_incremental_stream(spark, tmp_path):
     assert {("A", "E"), ("B", "C")} <= found and ("B", "D") not in found and classifier.increment == 3
 
 
+def test_increments_go_on_after_a_restart(spark, tmp_path):
+    docs, state = tmp_path / "docs", str(tmp_path / "state")
+    docs.mkdir()
+    (docs / "1.owl").write_text("SubClassOf(<A> ObjectSomeValuesFrom(<r> <B>))\nSubClassOf(<B> <C>)")
+    first = IncrementalClassifier(spark, path=state)
+    first.follow(str(docs))
+    # a round of an increment that was cut off: its facts must be found anew and followed
+    lost = first.closure
+    lost.write(spark.createDataFrame([("A", "E")], "x string, b string"), None)
+    (docs / "2.owl").write_text("SubClassOf(ObjectSomeValuesFrom(<r> <C>) <E>)\nSubClassOf(<E> <F>)")
+    again = IncrementalClassifier(spark, path=state)
+    assert again.increment == 1 and ("A", "E") not in as_set(facts(again.closure))
+    found = as_set(facts(again.follow(str(docs))))
+    assert {("A", "E"), ("A", "F"), ("B", "C")} <= found and again.increment == 2
+    assert as_set(facts(IncrementalClassifier(spark, path=state).follow(str(docs)))) == found
+
+
 def test_comparison_of_closures(spark):
     s = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "x string, b string")
     wanted = spark.createDataFrame([("a", "b"), ("a", "d"), ("b", "c")], "x string, b string")
