@@ -85,15 +85,20 @@ def arrow_map(
 _resident: dict[str, object] = {}
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: freed memory stays with the process
+        pass
+
+
 def release() -> None:
-    """Lets go of what this worker process has kept for other operators, and gives the memory back to the system."""
+    """Lets go of what this worker process has kept for other operators."""
     if _resident:
         _resident.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: freed memory stays with the process
-            pass
+        _trim()
 
 
 def resident(key: str, make: Callable[[], object]):
@@ -102,6 +107,7 @@ def resident(key: str, make: Callable[[], object]):
     if key not in _resident:
         release()
         _resident[key] = make()
+        _trim()  # what building it took besides
     return _resident[key]
 
 

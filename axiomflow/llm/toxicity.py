@@ -328,6 +328,8 @@ def _loaded(packed: bytes) -> tuple[ToxicityModel, Callable]:
     whole = {t: i for t, i in m.terms.items() if not t.endswith("*")}
     stems = {t[:-1]: i for t, i in m.terms.items() if t.endswith("*")}
 
+    m.terms = {}  # held twice otherwise
+
     def hits(text: str) -> tuple[np.ndarray, np.ndarray]:
         counted = Counter(text.lower().translate(LETTERS).split())
         times = np.fromiter(counted.values(), np.int64, len(counted))
