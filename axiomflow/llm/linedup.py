@@ -34,12 +34,13 @@ def _windows(lines: Column, places: Column) -> Column:
     return F.when(n >= WIDTH, F.transform(F.sequence(F.lit(0), n - WIDTH), window)).otherwise(F.array())
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare_first: bool = True) -> DataFrame:
     """Adds ``n_lines``, ``n_removed`` and ``dedup_text``; all rows stay.
 
     The order of documents is that of ``id_col`` (null first), then of the hash of the text; rows with equal id and
     text are one document and get the same result. Blank lines make no window and stay. Lines of the kept occurrence
-    of a repeated window stay even if a later occurrence overlaps them. Documents of fewer than three lines that
+    of a repeated window stay even if a later occurrence overlaps them; with ``spare_first`` off they go like all lines that
+    a later occurrence covers, and each such passage is still left where it comes first. Documents of fewer than three lines that
     aren't blank stay whole; a null text gives an empty one. Columns of the added names are replaced.
     """
     prepare(df.sparkSession)
@@ -61,7 +62,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def cover(starts: Column) -> Column:
         return F.flatten(F.transform(starts, lambda k: F.array(*[F.element_at("__ld_p", k + i) for i in range(1, WIDTH + 1)])))
 
-    gone = F.when(F.col("__ld_later").isNotNull(), F.array_except(cover(F.col("__ld_later")), cover(F.col("__ld_kept")))).otherwise(F.array().cast("array<int>"))
+    later = cover(F.col("__ld_later"))
+    later = F.array_except(later, cover(F.col("__ld_kept"))) if spare_first else F.array_distinct(later)
+    gone = F.when(F.col("__ld_later").isNotNull(), later).otherwise(F.array().cast("array<int>"))
     cut = joined.withColumn("__ld_l", _lines(text)).withColumn("__ld_p", F.when(F.col("__ld_later").isNotNull(), _places(F.col("__ld_l")))).withColumn("__ld_gone", gone)
     stay = F.array_except(F.sequence(F.lit(0), F.size("__ld_l") - 1), F.col("__ld_gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.element_at("__ld_l", i + 1)), "\n")

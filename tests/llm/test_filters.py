@@ -267,3 +267,23 @@ def test_more_names_than_the_first_draw_can_write(spark, monkeypatch):
     rows = [(i, f"Mr. {chr(65 + i)}lbert") for i in range(12)]
     got = [r.private_text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     assert len(set(got)) == 12
+
+
+def test_all_lines_of_later_occurrences(spark):
+    passage = [f"line {i} of a passage that many share" for i in range(4)]
+    rows = [(0, "\n".join(passage)), (1, "\n".join(["x1", *passage, "y1"])), (2, "\n".join(["x1", *passage, "y1"])), (3, "a\nb\nc\na\nb\nc"), (4, "p\nq\nr"), (None, "one\ntwo"), (5, None)]
+    rnd = random.Random(13)
+    rows += [(i, "\n".join(rnd.choice(["a", "b", " ", "c", "dd"]) for _ in range(rnd.randint(0, 12)))) for i in range(6, 40)]
+    got = {r.doc_id: r for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), spare_first=False).collect()}
+    assert [got[i].dedup_text for i in range(5)] == ["\n".join(passage), "x1\ny1", "", "a\nb\nc", "p\nq\nr"] and got[5].dedup_text == ""
+    seen = set()
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = (text or "").split("\n")
+        at = [i for i, s in enumerate(lines) if re.search(r"[^ \t\r\x0b\x0c]", s)]
+        gone = set()
+        for k in range(len(at) - 2):
+            key = tuple(lines[i] for i in at[k : k + 3])
+            if key in seen:
+                gone |= set(at[k : k + 3])
+            seen.add(key)
+        assert (got[doc].n_removed, got[doc].dedup_text) == (len(gone), "\n".join(s for i, s in enumerate(lines) if i not in gone))
