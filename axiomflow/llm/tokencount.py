@@ -1,23 +1,27 @@
 """Exact token counts of every prefix of a text, by dynamic programming.
 
 For each prefix of a word the last token of its exact encoding is the one match ending there that is compatible
-with the last token of the prefix before that match; its count is one more. A text's counts are running sums over
-its words, so truncation and budget questions need no second encoding.
+with the last token of the prefix before that match; its count is one more. A text's table holds the count of each of its
+prefixes, so truncation and budget questions need no second encoding.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axiomflow.llm.bpe import BYTE_WORDS, CACHE_BYTES, BpeModel
 from axiomflow.llm.common import ByteCache, arrow_map, prepare, resident
 
+BLANK = regex.compile(r"\s*")
+#: White space goes with what follows it, so that no word lies in two pieces.
+PIECES = regex.compile(r"\s*\S+|\s+")
+CONTRACTIONS = {"'re", "'ve", "'ll"}
+
 
 def prefix_counts(model: BpeModel, word: str) -> list[int]:
     """Token counts of word[:1], word[:2], ... for a word given as byte symbols."""
@@ -45,74 +49,102 @@ class Counter:
         self.model = BpeModel(vocabulary)
         if self.model.suffix:
             raise ValueError("prefix counts need a byte-level vocabulary")
-        self.words = ByteCache(CACHE_BYTES, lambda w: prefix_counts(self.model, w)[-1])
-        self.cache = ByteCache(CACHE_BYTES, lambda c: sum(map(self.words.__getitem__, self.model.words(c))))
-
-    def count(self, text: str) -> int:
-        """The last entry of the table of prefix counts."""
-        total = 0
+        self.words = ByteCache(CACHE_BYTES, self._ends)
+        self.cache = ByteCache(CACHE_BYTES, lambda c: _steps(self._counts(c)))
+
+    def _ends(self, word: str) -> list[int]:
+        """Token counts at the ends of the word's code points."""
+        if word.isascii():
+            return prefix_counts(self.model, word)
+        raw = word.encode()
+        counts = prefix_counts(self.model, raw.decode("latin-1"))
+        return [c for i, c in enumerate(counts, 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+
+    def _counts(self, text: str) -> list[int]:
+        """Token counts of text[:1], text[:2], ... as texts of their own, for a text without special tokens.
+
+        A cut leaves the words before it as they are, but for two cases: white space before the cut is one word up to
+        its last character, and a contraction of three characters cut after the second is a mark and a letter.
+        """
+        out, base, run, before = [], 0, -1, 0
+        for m in BYTE_WORDS.finditer(text):
+            start, word = m.start(), m[0]
+            counts = self.words[word]
+            blank = BLANK.match(word).end()
+            if blank and run < 0:
+                run, before = start, base
+            if blank and run < start:
+                out += [before + c for c in self._ends(text[run : start + blank])[start - run :]]
+            else:
+                out += [base + c for c in counts[:blank]]
+            if blank < len(word):
+                run = -1
+                own = counts if word not in CONTRACTIONS else [counts[0], counts[0] + 1, counts[2]]
+                out += [base + c for c in own[blank:]]
+            base += counts[-1]
+        # a text that ends in white space ends in one word, whose count the last entry has
+        return out
+
+    def _special(self, part: str, special: str) -> bytes:
+        """Steps through a special token after ``part``: cut in two it is plain text, which may join the words before it."""
+        piece = PIECES.findall(part)[-1] if part else ""
+        counts = self._counts(piece + special[:-1])
+        here = counts[len(piece) - 1] if piece else 0
+        return _steps([*counts[len(piece) :], here + 1], here)
+
+    def table(self, text: str) -> tuple[np.ndarray]:
+        """The stored table: the token count of text[:n] for each n from 0 on. Its memory is 4 bytes a code point."""
+        steps = []
         for part, special in self.model.sections(text):
             if part:
                 chunks = self.model.chunks(part)
                 if chunks is None:
-                    total += sum(map(self.words.__getitem__, self.model.words(part)))
+                    steps += map(self.cache.__getitem__, PIECES.findall(part))
                 else:
-                    total += self.cache[chunks[0]] + sum(map(self.cache.__getitem__, [" " + c for c in chunks[1:]]))
-            total += special >= 0
-        return total
-
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of the words in code points and the token counts up to each: the stored prefix table."""
-        ends, counts, at, total = [], [], 0, 0
-        for part, special in self.model.sections(text):
-            for word in BYTE_WORDS.findall(part):
-                at += len(word)
-                total += self.words[word.encode().decode("latin-1")]
-                ends.append(at)
-                counts.append(total)
+                    steps.append(self.cache[chunks[0]])
+                    steps += map(self.cache.__getitem__, [" " + c for c in chunks[1:]])
             if special >= 0:
-                at += len(self.model.texts[special])
-                total += 1
-                ends.append(at)
-                counts.append(total)
-        return ends, counts
+                steps.append(self._special(part, self.model.texts[special]))
+        return (np.cumsum(np.frombuffer(b"".join([bytes(4), *steps]), "<i4"), dtype=np.int32),)
+
+    def count(self, text: str) -> int:
+        """The last entry of the table of prefix counts."""
+        return int(self.table(text)[0][-1])
+
+
+def _steps(counts: list[int], before: int = 0) -> bytes:
+    """Differences of consecutive counts, as little-endian 32-bit integers."""
+    return np.diff(np.array([before, *counts], "<i4")).tobytes()
 
 
 class PrefixStore:
-    """Answers from a stored table: tokens of text[:n], and the longest prefix within a budget."""
+    """Answers from a stored table, without a look at the text: tokens of text[:n], and the longest prefix within a budget."""
 
-    def __init__(self, model: BpeModel, text: str, ends: list[int], counts: list[int]):
-        self.model, self.text, self.ends, self.counts = model, text, ends, counts
+    def __init__(self, model: BpeModel, text: str, counts: np.ndarray):
+        self.counts = counts
 
     def tokens(self, n: int) -> int:
-        """Tokens of the first n code points. Only the words at the cut are looked at again."""
-        n = max(0, min(n, len(self.text)))
-        k = bisect_right(self.ends, n)
-        if k and self.ends[k - 1] == n and n == len(self.text):
-            return self.counts[k - 1]
-        k = max(0, k - 2)  # white space before the cut, and a contraction cut in two, may split otherwise
-        start, base = (self.ends[k - 1], self.counts[k - 1]) if k else (0, 0)
-        tail = self.text[start:n]
-        total = base
-        for part, special in self.model.sections(tail):
-            for word in BYTE_WORDS.findall(part):
-                total += prefix_counts(self.model, word.encode().decode("latin-1"))[-1]
-            total += special >= 0
-        return total
+        """Tokens of the first n code points."""
+        return int(self.counts[max(0, min(n, len(self.counts) - 1))])
 
     def longest_within(self, budget: int) -> int:
-        """The greatest n with tokens(n) <= budget. Counts aren't monotone: a longer prefix may end in one token where a shorter
-        one takes several, so all places of the next words are looked at, not only those up to the first beyond the budget."""
-        k = bisect_right(self.counts, budget)
-        # a cut changes at most the word before it and the next one, so beyond these no prefix is within the budget
-        stop = self.ends[min(k + 1, len(self.ends) - 1)] if self.ends else 0
-        least = self.ends[k - 1] if k else 0
-        for n in range(stop, least, -1):
-            if self.tokens(n) <= budget:
-                return n
-        while least and self.tokens(least) > budget:
-            least -= 1
-        return least
+        """The greatest n with tokens(n) <= budget, 0 if there is none. Counts aren't monotone: a longer prefix may end in one
+        token where a shorter one takes several, so all places are looked at."""
+        fits = np.flatnonzero(self.counts <= budget)
+        return int(fits[-1]) if len(fits) else 0
+
+
+def tokens_of_prefix(prefix_tokens: Column, n: Column | int) -> Column:
+    """Tokens of the first n code points, from a stored table; n is taken as at least 0 and at most the text's length."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.element_at(prefix_tokens, (F.greatest(F.lit(0), F.least(n, F.size(prefix_tokens) - 1)) + 1).cast("int"))
+
+
+def longest_prefix(prefix_tokens: Column, budget: Column | int) -> Column:
+    """Code points of the longest prefix of at most ``budget`` tokens, from a stored table; 0 if there is none."""
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    fits = F.transform(prefix_tokens, lambda c, i: F.when(c <= budget, i))
+    return F.coalesce(F.array_max(fits), F.lit(0)).cast("bigint")
 
 
 def counter(vocabulary: str) -> Counter:
@@ -120,17 +152,18 @@ def counter(vocabulary: str) -> Counter:
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", limit: int = 512, table: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``n_bytes``, ``n_tokens`` and ``over_limit`` (n_tokens > limit); with ``table`` also the prefix table
-    ``prefix_ends`` (code points) and ``prefix_tokens``.
+    """Adds ``n_bytes``, ``n_tokens``, ``fits_chars`` (code points of the longest prefix of at most ``limit`` tokens) and
+    ``over_limit`` (n_tokens > limit), all from the table of prefix counts; with ``table`` also the table itself,
+    ``prefix_tokens``, for :func:`tokens_of_prefix` and :func:`longest_prefix`.
 
     Counts are those of the vocabulary's library without added tokens; special strings in a text count as their
-    token. A null text counts as empty: 0 bytes, 0 tokens. All rows stay; columns of the added names are replaced.
+    token. A null text counts as empty: 0 bytes, 0 tokens, a table of one 0. Texts are taken whole; a table takes 4 bytes
+    a code point while its row is worked on. All rows stay, repeated ones too; columns of the added names are replaced.
     """
     prepare(df.sparkSession)
-    fields = [("n_bytes", T.LongType(), pa.int64()), ("n_tokens", T.LongType(), pa.int64())]
+    fields = [("n_bytes", T.LongType(), pa.int64()), ("n_tokens", T.LongType(), pa.int64()), ("fits_chars", T.LongType(), pa.int64())]
     if table:
-        ints = pa.list_(pa.int64())
-        fields += [("prefix_ends", T.ArrayType(T.LongType()), ints), ("prefix_tokens", T.ArrayType(T.LongType()), ints)]
+        fields.append(("prefix_tokens", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
 
     def make():
         c = counter(vocabulary)
@@ -138,11 +171,9 @@ def count_tokens(df: DataFrame, text_col: str = "text", vocabulary: str = "byte_
         def compute(texts):
             for raw in texts:
                 text = raw.decode()
-                if table:
-                    ends, counts = c.table(text)
-                    yield len(raw), counts[-1] if counts else 0, ends, counts
-                else:
-                    yield len(raw), c.count(text)
+                store = PrefixStore(c.model, text, *c.table(text))
+                row = len(raw), store.tokens(len(text)), store.longest_within(limit)
+                yield (*row, store.counts) if table else row
 
         return compute
 

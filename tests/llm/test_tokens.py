@@ -1,7 +1,10 @@
 """BPE and prefix counts against the vocabularies' own library."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from axiomflow.llm import bpe, tokencount
@@ -71,3 +74,24 @@ def test_longest_prefix_within_a_budget(libraries):
         exact = [len(lib.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
         for budget in range(exact[-1] + 1):
             assert store.longest_within(budget) == max(n for n, c in enumerate(exact) if c <= budget)
+
+
+def test_each_prefix_of_odd_texts(libraries):
+    lib, counter, rnd = libraries["byte_bpe_50k.json"], tokencount.counter("byte_bpe_50k.json"), random.Random(12)
+    bits = ["a", "'", "ve", "'ll", "'re", " ", "  ", "\n", "\t", "<|endoftext|>", "<|", "12", "é", "日本", "!?", "word", "\x1c", "　", "s"]
+    for _ in range(400):
+        text = "".join(rnd.choices(bits, k=rnd.randrange(12)))
+        (table,) = counter.table(text)
+        assert table.tolist() == [len(lib.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+
+
+def test_stored_tables_answer_in_sql(spark, docs, libraries):
+    lib = libraries["byte_bpe_50k.json"]
+    out = tokencount.count_tokens(docs.withColumn("fits_chars", F.lit("x")), limit=7, table=True)
+    out = out.withColumn("ten", tokencount.tokens_of_prefix(F.col("prefix_tokens"), 10)).withColumn("fits", tokencount.longest_prefix(F.col("prefix_tokens"), 7))
+    rows = out.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        text = r.text or ""
+        assert r.ten == len(lib.encode(text[:10], add_special_tokens=False).ids) and len(r.prefix_tokens) == len(text) + 1 and r.fits == r.fits_chars
+        assert r.fits == max(n for n, c in enumerate(r.prefix_tokens) if c <= 7)
