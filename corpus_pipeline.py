@@ -35,9 +35,10 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated passages are cut; a document of which nothing stays goes. A null text becomes empty."""
+    """All lines that later occurrences of repeated passages cover are cut; a document of which nothing stays goes. A null
+    text becomes empty."""
     held, names = _hidden(docs)
-    cut = linedup.dedup_lines(held, "doc_id", "text")
+    cut = linedup.dedup_lines(held, "doc_id", "text", spare_first=False)
     return _shown(cut.filter((F.col("n_removed") == 0) | F.col("dedup_text").rlike(r"[^ \t\n\r\x0b\x0c]")), names, "dedup_text")
 
 
