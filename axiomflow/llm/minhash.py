@@ -268,7 +268,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             labels = connected_components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     named = docs.join(labels, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("label"))
-    least = named.filter("n_shingles > 0").groupBy("label").agg(F.min("id").alias("component_id"))
+    # written before the join, so that the rows of one large component can be split over tasks
+    least = materialised(named.filter("n_shingles > 0").groupBy("label").agg(F.min("id").alias("component_id")), "least-ids")
     linked = named.filter("n_shingles > 0").join(least, "label").select("id", "n_shingles", "component_id")
     alone = named.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
