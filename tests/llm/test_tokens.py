@@ -95,3 +95,13 @@ def test_stored_tables_answer_in_sql(spark, docs, libraries):
         text = r.text or ""
         assert r.ten == len(lib.encode(text[:10], add_special_tokens=False).ids) and len(r.prefix_tokens) == len(text) + 1 and r.fits == r.fits_chars
         assert r.fits == max(n for n, c in enumerate(r.prefix_tokens) if c <= 7)
+
+
+def test_fit_is_what_the_table_says():
+    counter, rnd = tokencount.counter("byte_bpe_50k.json"), random.Random(14)
+    bits = ["a", "'", "ve", " 'll", " ", "  ", "\n", " <|endoftext|>", "12", "é", " wordish", "!?", " Wednesdayish"]
+    for _ in range(300):
+        text = "".join(rnd.choices(bits, k=rnd.randrange(25)))
+        store = tokencount.PrefixStore(counter.model, text, *counter.table(text))
+        for budget in (0, 1, 2, 3, 5, 8, 13, 40):
+            assert counter.fit(text, budget) == (store.tokens(len(text)), store.longest_within(budget))
