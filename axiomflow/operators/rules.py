@@ -32,7 +32,7 @@ def conj(ds: DataFrame, s: DataFrame, ax_conj: DataFrame) -> DataFrame:
     ax = ax_conj.select("conj_id", "operand", "arity", F.col("b").alias("to"))
     touched = ds.join(ax, ds["b"] == ax["operand"]).select("x", "conj_id").distinct()
     wanted = touched.join(ax, "conj_id")
-    full = s.select(F.col("x").alias("sx"), F.col("b").alias("sb"))
+    full = s.join(ax.select(F.col("operand").alias("b")), "b", "left_semi").select(F.col("x").alias("sx"), F.col("b").alias("sb"))
     held = wanted.join(full, (F.col("x") == F.col("sx")) & (F.col("operand") == F.col("sb")), "left_semi")
     return held.groupBy("x", "conj_id", "arity", "to").agg(F.count_distinct("operand").alias("n")).filter("n = arity").select("x", F.col("to").alias("b"))
 
@@ -78,6 +78,21 @@ def role_super(r: DataFrame, role_closure: DataFrame) -> DataFrame:
     return union([r.select("r", "x", "y"), above])
 
 
+def climb(r: DataFrame, above: DataFrame) -> DataFrame:
+    """Each pair under its role and all roles above it (a table of r and the array ups), without a second copy of r in the plan:
+    rows stay where they are if the table is broadcast."""
+    ups = F.concat(F.array("r"), F.coalesce("ups", F.array().cast("array<string>" if r.schema["r"].dataType.typeName() == "string" else "array<bigint>")))
+    return r.join(above, "r", "left").select(F.explode(ups).alias("r"), "x", "y")
+
+
+def chain_legs(first: DataFrame, second: DataFrame, ax_chain: DataFrame) -> DataFrame:
+    """t(x, z) of r(x, y) in ``first`` and s(y, z) in ``second`` with r o s below t."""
+    ax = ax_chain.select(F.col("r").alias("c1"), F.col("s").alias("c2"), F.col("t").alias("c3"))
+    one = first.join(ax, first["r"] == ax["c1"]).select("x", F.col("y").alias("m"), "c2", "c3")
+    two = second.select(F.col("r").alias("c2"), F.col("x").alias("m"), F.col("y").alias("z"))
+    return one.join(two, ["m", "c2"]).select(F.col("c3").alias("r"), "x", F.col("z").alias("y"))
+
+
 def chain(dr: DataFrame, r: DataFrame, ax_chain: DataFrame) -> DataFrame:
     """r(x, y), s(y, z), r o s below t: t(x, z). The whole row (r, s, t) is matched."""
     ax = ax_chain.select(F.col("r").alias("c1"), F.col("s").alias("c2"), F.col("t").alias("c3"))

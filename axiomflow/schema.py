@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLASS, INDIVIDUAL, ROLE, DATATYPE = 0, 1, 2, 3
@@ -30,6 +30,25 @@ COLUMNS = {
 #: Columns that name entities, and the kind of entity; None where a class or an individual may stand.
 ENTITY = {"a": None, "b": None, "operand": None, "d": None, "r": ROLE, "s": ROLE, "t": ROLE}
 
+#: Bits of an inline id (dictionary.Inline) that hold its number, and the most digits that are taken for one.
+NUMBER_BITS, DIGITS = 41, 12
+
+
+def digits(c: Column) -> Column:
+    """How many characters of an IRI are its number: the last digits from the first that isn't 0; 0 if there are more than DIGITS."""
+    n = F.length(F.ltrim(F.substring(c, F.length(F.rtrim(c, F.lit("0123456789"))) + 1, F.lit(2**31 - 1)), F.lit("0")))
+    return n * (n <= DIGITS).cast("int")
+
+
+def stem(c: Column) -> Column:
+    """An IRI without its number."""
+    return F.substring(c, F.lit(1), F.length(c) - digits(c))
+
+
+def coarse(df: DataFrame, column: str) -> Column:
+    """A coarser key: equal for equal entities, and with few values where IRIs or inline ids share their stems."""
+    return stem(F.col(column)) if df.schema[column].dataType.typeName() == "string" else F.shiftright(column, NUMBER_BITS)
+
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from Python rows as a local relation, which costs no job and which the optimizer sees through."""
@@ -83,6 +102,10 @@ class Axioms:
     def union(self, other: Axioms) -> Axioms:
         return Axioms(**{k: v.unionByName(getattr(other, k)).distinct() for k, v in self.tables().items()})
 
+    def with_union(self, other: Axioms) -> Axioms:
+        """As union, but axioms that both have stand twice: nothing is moved."""
+        return Axioms(**{k: v.unionByName(getattr(other, k)) for k, v in self.tables().items()})
+
     def with_(self, **tables: DataFrame) -> Axioms:
         return replace(self, **tables)
 

@@ -40,13 +40,30 @@ def materialised(df: DataFrame, label: str = "table", path: str | None = None) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_counted(df: DataFrame, path: str) -> int:
-    """Writes ``df`` and returns its number of rows, in one job."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+#: Whether Spark drops a query's shuffle files when the query has ended, and not only when the driver collects its garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_counted(df: DataFrame, path: str, compression: str | None = None) -> int:
+    """Writes ``df`` and returns its number of rows, in one job whose shuffle files go with it."""
+    seen, conf = Observation(), df.sparkSession.conf
+    before = conf.get(CLEAN_SHUFFLES, None)
+    conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        out = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+        (out.option("compression", compression) if compression else out).parquet(path)
+    finally:
+        conf.unset(CLEAN_SHUFFLES) if before is None else conf.set(CLEAN_SHUFFLES, before)
     return seen.get["n"]
 
 
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """As ``materialised``, without the shuffle files."""
+    path = fresh_path(df.sparkSession, label)
+    write_counted(df, path, compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_local(df: DataFrame) -> bool:
     """Whether the optimized plan is a local relation, whose rows the driver has already."""
     return df._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
