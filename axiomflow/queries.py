@@ -266,10 +266,9 @@ def q_range_elim(spark, sf_dir):
 @query(f"WITH RECURSIVE {SUB}, {EX}, {CLOSURE}, {FULL_S} SELECT x, b FROM s")
 def q_full_saturation_s(spark, sf_dir):
     """All rules over the whole ontology, on encoded ids."""
-    ax = normalize.eliminate_ranges(star.axioms(spark, sf_dir))
-    d = dictionary.encode_signature(ax.signature())
-    closure = saturate(dictionary.encode(ax, d), nothing=0, top=1)
-    return dictionary.lookup(facts(closure, 0, 1), d, ["x", "b"], back=True)
+    known = dictionary.identified(star.axioms(spark, sf_dir))
+    closure = saturate(known.axioms, nothing=known.nothing, top=known.top, ready_made=True)
+    return known.decode(facts(closure, known.nothing, known.top), ["x", "b"])
 
 
 @query(f"WITH RECURSIVE {SUB}, {EX}, {FULL_R} SELECT r, x, y FROM rel")
