@@ -281,12 +281,14 @@ def q_full_saturation_r(spark, sf_dir):
 @query(f"WITH RECURSIVE {SUB}, {EX}, {CLOSURE}, {FULL_S} SELECT b, count(*) AS n FROM s GROUP BY b")
 def q_incremental_equals_batch(spark, sf_dir):
     """Roles, chains and line items come as an increment to a saturated base."""
-    ax = normalize.eliminate_ranges(star.axioms(spark, sf_dir))
-    line = F.col("r").isin("contains", "suppliedBy")
+    known = dictionary.identified(star.axioms(spark, sf_dir))
+    ax, ends = known.axioms, {"nothing": known.nothing, "top": known.top}
+    line = F.col("r").isin(*known.ids(["contains", "suppliedBy"]))
     none = lambda df: df.limit(0)
     base = ax.with_(ex=ax.ex.filter(~line), role=none(ax.role), chain=none(ax.chain), conj=none(ax.conj))
-    more = Axioms.of(spark, ex=ax.ex.filter(line), role=ax.role, chain=ax.chain, conj=ax.conj)
-    return facts(extend(saturate(base), more)).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    more = Axioms.of(spark, "bigint", ex=ax.ex.filter(line), role=ax.role, chain=ax.chain, conj=ax.conj)
+    closure = extend(saturate(base, ready_made=True, **ends), more, ready_made=True, **ends)
+    return known.decode(facts(closure, **ends).groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["b"])
 
 
 # --- results
