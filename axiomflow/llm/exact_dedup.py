@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axiomflow.llm.common import fresh_path, materialised, prepare
+from axiomflow.storage import is_plain
 
 DISK_STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -24,6 +25,9 @@ DISK_STATE = {
     # many small stores: space is not set aside ahead of use
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: For checkpoints in a folder of the operating system, where a plain rename overwrites at one stroke. Spark's default there
+#: starts sixteen ``readlink`` processes for each state partition, and a process that just starts shares all of an executor's memory.
+PLAIN_RENAME = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
 
 def normalised(text: Column) -> Column:
@@ -66,7 +70,7 @@ def run_stream(rows: DataFrame, checkpoint: str, changes: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{changes}/epoch={epoch}")
 
     rows.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{changes}/epoch=-1")  # for streams without rows
-    with _settings(spark, DISK_STATE):
+    with _settings(spark, DISK_STATE | (PLAIN_RENAME if is_plain(spark, checkpoint) else {})):
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     read = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).parquet(changes)

@@ -94,6 +94,11 @@ def _folder(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def is_plain(spark: SparkSession, path: str) -> bool:
+    """Whether a path lies in a file system of the operating system, local or mounted."""
+    return _folder(spark, path)[1].getScheme() == "file"
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; none if there is no such folder."""
     place, fs = _folder(spark, path)

@@ -133,6 +133,20 @@ def test_exact_goes_on_from_its_state(spark, tmp_path):
     assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
 
 
+def test_exact_starts_no_processes_for_state_files(spark, tmp_path):
+    jvm, path, log = spark._jvm, str(tmp_path / "docs.parquet"), str(tmp_path / "starts.jfr")
+    spark.createDataFrame([(i, f"a{i % 3}") for i in range(9)], "doc_id bigint, text string").write.parquet(path)
+    seen = jvm.jdk.jfr.Recording()
+    seen.enable("jdk.ProcessStart")
+    seen.start()
+    assert exact_dedup.exact_dedup(spark, path).count() == 9
+    seen.stop()
+    seen.dump(jvm.java.nio.file.Path.of(log, spark.sparkContext._gateway.new_array(jvm.String, 0)))
+    seen.close()
+    starts = [e.getString("command").split()[0] for e in jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(jvm.java.io.File(log).toPath())]
+    assert starts.count("chmod") and not starts.count("readlink")
+
+
 def test_exact_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(tmp_path / "none.parquet"))
     assert exact_dedup.exact_dedup(spark, str(tmp_path / "none.parquet")).count() == 0
