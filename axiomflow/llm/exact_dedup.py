@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axiomflow.llm.common import fresh_path, materialised, prepare
-from axiomflow.storage import is_plain
+from axiomflow.storage import is_plain, size_of
 
 DISK_STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,6 +29,9 @@ DISK_STATE = {
 #: starts sixteen ``readlink`` processes for each state partition, and a process that just starts shares all of an executor's memory.
 PLAIN_RENAME = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
+#: Bytes of input for each partition of a state that is used once. An open store takes about 0.8 MB of an executor besides its rows.
+STATE_BYTES = 64 << 20
+
 
 def normalised(text: Column) -> Column:
     """The text without space, tab, line feed, vertical tab, form feed and carriage return; null is empty."""
@@ -55,12 +58,18 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def run_stream(rows: DataFrame, checkpoint: str, changes: str) -> DataFrame:
+def state_partitions(spark: SparkSession, path: str) -> int:
+    """By the size of the input: as many as tasks can run at least, those of a shuffle at most."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-size_of(spark, path) // STATE_BYTES)))
+
+
+def run_stream(rows: DataFrame, checkpoint: str, changes: str, partitions: int | None = None) -> DataFrame:
     """Runs a stream of (digest, best, locator...) to the end of what is there and returns the state.
 
     ``rows`` is a streaming frame with ``digest`` and ``best`` (struct, the least one stays). A later call with the
     same folders goes on from the state kept in ``checkpoint``. Each batch writes the changed keys to a folder of
-    its own below ``changes``, which a repeated batch overwrites.
+    its own below ``changes``, which a repeated batch overwrites. ``partitions`` of a new state: those of a shuffle
+    if it isn't given.
     """
     spark = rows.sparkSession
     state = rows.groupBy("digest").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))
@@ -70,7 +79,8 @@ def run_stream(rows: DataFrame, checkpoint: str, changes: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{changes}/epoch={epoch}")
 
     rows.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{changes}/epoch=-1")  # for streams without rows
-    with _settings(spark, DISK_STATE | (PLAIN_RENAME if is_plain(spark, checkpoint) else {})):
+    settings = DISK_STATE | (PLAIN_RENAME if is_plain(spark, checkpoint) else {}) | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    with _settings(spark, settings):
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     read = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).parquet(changes)
@@ -100,7 +110,9 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(_as_glob(path))
     rows = stream.select(digest(normalised(text)).alias("digest"), F.struct(size.alias("size"), doc.alias("id"), F.col("_metadata.file_path").alias("locator")).alias("best"))
     # written first, as are the other grouped tables below: a join of two tables can split the rows of a hot digest
-    state = materialised(run_stream(rows, f"{base}/state", f"{base}/changes"), "exact-state")
+    # a state that later calls go on from keeps its number of partitions, so it gets those of a shuffle
+    partitions = None if checkpoint else state_partitions(spark, path)
+    state = materialised(run_stream(rows, f"{base}/state", f"{base}/changes", partitions), "exact-state")
 
     # rows beside their state; only rows whose digest was hit carry their text on
     plain = docs.select(doc.alias("id"), size.alias("size"), normalised(text).alias("norm")).withColumn("digest", digest(F.col("norm")))

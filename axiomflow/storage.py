@@ -99,6 +99,12 @@ def is_plain(spark: SparkSession, path: str) -> bool:
     return _folder(spark, path)[1].getScheme() == "file"
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, of all files below a folder, or of all that fit a pattern."""
+    place, fs = _folder(spark, path)
+    return sum(fs.getContentSummary(s.getPath()).getLength() for s in fs.globStatus(place) or ())
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; none if there is no such folder."""
     place, fs = _folder(spark, path)

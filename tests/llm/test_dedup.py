@@ -147,6 +147,23 @@ def test_exact_starts_no_processes_for_state_files(spark, tmp_path):
     assert starts.count("chmod") and not starts.count("readlink")
 
 
+def test_exact_opens_few_stores_for_a_small_input(spark, tmp_path, monkeypatch):
+    path, cores = str(tmp_path / "docs.parquet"), spark.sparkContext.defaultParallelism
+    rows = [(i, f"a{i % 50}") for i in range(90)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+    monkeypatch.setattr(exact_dedup, "fresh_path", lambda spark, label: str(tmp_path / label))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(2 * cores))
+    try:
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, path).collect()) == brute_exact(rows)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(2 * cores)
+        assert len([p for p in (tmp_path / "exact-dedup/state/state/0").iterdir() if p.name.isdigit()]) == cores
+        monkeypatch.setattr(exact_dedup, "STATE_BYTES", 1)
+        assert exact_dedup.state_partitions(spark, path) == 2 * cores == exact_dedup.state_partitions(spark, str(tmp_path / "doc*.parquet"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_exact_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(tmp_path / "none.parquet"))
     assert exact_dedup.exact_dedup(spark, str(tmp_path / "none.parquet")).count() == 0
